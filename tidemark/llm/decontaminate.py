@@ -40,6 +40,17 @@ def winnowed(hashes: Column, span: int) -> Column:
     return F.get(F.transform(F.array(hashes), pick), 0)
 
 
+def every_gram(words: Column, n: int) -> Column:
+    """(n, pos, gram) at each position from which n words follow, for items of n words."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+
+    def of(h: Column) -> Column:
+        starts = F.slice(h, 1, F.greatest(F.size(h) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda _, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(F.slice(h, i + 1, n)).alias("gram")))
+
+    return F.get(F.transform(F.array(hashes), of), 0)
+
+
 def benchmark_index(benchmark: DataFrame, window: int, k: int) -> DataFrame:
     """(item_id, n, gram, shift, around): n words hash to gram, shift words into the words `around`.
 
@@ -72,9 +83,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     total, short = sum(c for _, c in sizes), sorted(n for n, _ in sizes if n)
     words = docs.select(*row_key(), word_array(F.col("text")).alias("_w"))
     found = [F.transform(winnowed(grams(F.col("_w"), k), window - k + 1), lambda f: F.struct(F.lit(0).alias("n"), f["pos"].alias("pos"), f["gram"].alias("gram")))]
-    for n in short:
-        hashes = F.transform("_w", lambda w: F.xxhash64(w))
-        found.append(F.get(F.transform(F.array(hashes), lambda h, n=n: F.transform(F.slice(h, 1, F.greatest(F.size(h) - (n - 1), F.lit(0))), lambda _, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(F.slice(h, i + 1, n)).alias("gram")))), 0))
+    found += [every_gram(F.col("_w"), n) for n in short]
     marks = words.select("doc_id", "_th", F.explode(F.concat(*found)).alias("_f")).select("doc_id", "_th", F.col("_f.n").alias("n"), F.col("_f.pos").alias("pos"), F.col("_f.gram").alias("gram"))
     places = index.groupBy("n", "gram", "shift", "around").agg(F.collect_set("item_id").alias("item_ids"))
     places = F.broadcast(places) if total <= MAX_BROADCAST_GRAMS else places
