@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, scratch
 from .decontaminate import contaminated_words
 from .line_dedup import drop_common_lines
+from .secret_scan import BASE, BlobLedger, spans_text
 
 WORDS_SQL = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
@@ -57,5 +58,16 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = BlobLedger(spark, scratch(spark, "secret-ledger"))
+    out = ledger.scan(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", batch="0")
+    base = F.filter("spans", lambda s: s["ord"] < len(BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op6_secret_scan": op6_secret_scan, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
 ORACLE = {"op8_benchmark_decontamination": OP8_SQL, "op4_line_dedup": OP4_SQL}
