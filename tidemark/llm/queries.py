@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, scratch
 from .decontaminate import contaminated_words
+from .fingerprint import fingerprint_edits
 from .line_dedup import drop_common_lines
 from .secret_scan import BASE, BlobLedger, spans_text
 
@@ -69,5 +70,9 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op6_secret_scan": op6_secret_scan, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
+QUERIES = {"op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
 ORACLE = {"op8_benchmark_decontamination": OP8_SQL, "op4_line_dedup": OP4_SQL}
