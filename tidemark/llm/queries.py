@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import documents, scratch
 from .decontaminate import contaminated_words
 from .fingerprint import fingerprint_edits
+from .jaccard_join import near_duplicates
 from .line_dedup import drop_common_lines
 from .secret_scan import BASE, BlobLedger, spans_text
 
@@ -74,5 +75,9 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))
 
 
-QUERIES = {"op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), percent=75, width=5)
+
+
+QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
 ORACLE = {"op8_benchmark_decontamination": OP8_SQL, "op4_line_dedup": OP4_SQL}
