@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ship, stored
 from .components import components
 from .shingles import mixed, shingle_sets, signature
 
@@ -167,6 +167,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     """
     if not 60 <= percent <= 100:
         raise ValueError("percent must lie between 60 and 100")
+    ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = stored(_sets(docs, width, percent), "shingle-sets")
     there = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())

@@ -9,6 +9,7 @@ from .common import documents, scratch
 from .decontaminate import contaminated_words
 from .fingerprint import fingerprint_edits
 from .jaccard_join import near_duplicates
+from .language_id import identify, train
 from .line_dedup import drop_common_lines
 from .secret_scan import BASE, BlobLedger, spans_text
 
@@ -79,5 +80,13 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=75, width=5)
 
 
-QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    out = identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
 ORACLE = {"op8_benchmark_decontamination": OP8_SQL, "op4_line_dedup": OP4_SQL}
