@@ -10,6 +10,7 @@ from .decontaminate import contaminated_words
 from .fingerprint import fingerprint_edits
 from .jaccard_join import near_duplicates
 from .language_id import identify, train
+from .license_scan import scan_licenses
 from .line_dedup import drop_common_lines
 from .secret_scan import BASE, BlobLedger, spans_text
 
@@ -88,5 +89,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "license_spans")
+
+
+QUERIES = {"op3_license_scan": op3_license_scan, "op1_language_id": op1_language_id, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
 ORACLE = {"op8_benchmark_decontamination": OP8_SQL, "op4_line_dedup": OP4_SQL}
