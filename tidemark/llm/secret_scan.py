@@ -83,30 +83,26 @@ def all_spans(text: Column, lowered: Column, rules: tuple[Rule, ...] = RULES) ->
 
 
 class BlobLedger:
-    """Scanned (blob, rule version) pairs and their findings, as Parquet under `path`.
+    """Scanned (blob, rule version) pairs with what was found, as Parquet under `path`.
 
-    A scan is one batch: a folder of findings, then one of scanned pairs, each written whole.  A batch
-    that was lost half way is simply scanned again, and one committed twice overwrites itself.
+    A scan is one batch, written whole: a row for every blob it scanned, with or without findings.  A
+    batch that was lost half way is simply scanned again, and one committed twice overwrites itself.
     """
 
     def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION):
         self.spark, self.path, self.rules, self.rule_version = spark, path.rstrip("/"), rules, rule_version
 
-    SEEN = "blob binary, rule_version string"
-    FOUND = "blob binary, rule_version string, spans array<struct<start:int,ord:int,kind:string,stop:int>>"
+    SCANNED = "blob binary, rule_version string, spans array<struct<start:int,ord:int,kind:string,stop:int>>"
 
-    def _read(self, what: str, schema: str) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{what}")
-
-    def seen(self) -> DataFrame:
-        return self._read("seen", self.SEEN).where(F.col("rule_version") == self.rule_version)
+    def scanned(self) -> DataFrame:
+        """What this rule version has scanned; a blob may stand more than once, with equal spans."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], self.SCANNED)
+        return self.spark.read.schema(self.SCANNED).option("recursiveFileLookup", "true").parquet(self.path).where(F.col("rule_version") == self.rule_version)
 
     def findings(self) -> DataFrame:
-        return self._read("found", self.FOUND).where(F.col("rule_version") == self.rule_version).dropDuplicates(["blob"])
+        return self.scanned().where(F.size("spans") > 0).dropDuplicates(["blob"])
 
     def scan(self, versions: DataFrame, path_column: str, batch: str) -> DataFrame:
         """Scans what is unseen among versions (path_column, text) and returns versions with blob and spans.
@@ -118,13 +114,12 @@ class BlobLedger:
         text = F.coalesce(F.col("text"), F.lit(""))
         addressed = versions.select("*", F.unhex(F.sha2(text, 256)).alias("blob"))
         one = addressed.groupBy("blob").agg(F.min(path_column).alias("_path"))
-        unseen = one.join(self.seen().select("blob"), "blob", "left_anti").withColumnRenamed("blob", "_blob").hint("shuffle_hash")
+        unseen = one.join(self.scanned().select("blob"), "blob", "left_anti").withColumnRenamed("blob", "_blob").hint("shuffle_hash")
         todo = addressed.select(F.col(path_column).alias("_p"), "blob", text.alias("text")).join(unseen, F.col("_p").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob")), "left_semi")
         todo = todo.select("blob", "text", F.lower("text").alias("lowered"))
+        # no filter on spans here: it would be pushed below the join, and every text scanned
         found = todo.select("blob", F.lit(self.rule_version).alias("rule_version"), all_spans(F.col("text"), F.col("lowered"), self.rules).alias("spans"))
-        found.where(F.size("spans") > 0).dropDuplicates(["blob"]).write.mode("overwrite").parquet(f"{self.path}/found/batch={batch}")
-        seen = one.join(self.seen().select("blob"), "blob", "left_anti").select("blob", F.lit(self.rule_version).alias("rule_version"))
-        seen.write.mode("overwrite").parquet(f"{self.path}/seen/batch={batch}")
+        found.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         back = self.findings().select(F.col("blob").alias("_blob"), "spans")
         joined = addressed.join(back, F.col("blob") == F.col("_blob"), "left").drop("_blob")
         return joined.withColumn("spans", F.coalesce("spans", F.array().cast(dict(back.dtypes)["spans"])))
