@@ -12,7 +12,9 @@ from .jaccard_join import near_duplicates
 from .language_id import identify, train
 from .license_scan import scan_licenses
 from .line_dedup import drop_common_lines
+from .pieces import decode_pieces, encode_pieces
 from .secret_scan import BASE, BlobLedger, spans_text
+from .token_counts import TokenLedger
 
 WORDS_SQL = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
@@ -93,5 +95,20 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "license_spans")
 
 
-QUERIES = {"op3_license_scan": op3_license_scan, "op1_language_id": op1_language_id, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = TokenLedger(spark, scratch(spark, "token-ledger"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
+    ledger.commit("load", inserts=docs)
+    ledger.commit("load", inserts=docs)  # a batch that is delivered twice counts once
+    return ledger.totals()
+
+
+def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode_pieces(encode_pieces(documents(spark, sf_dir).select("doc_id", "text")))
+    scores = F.transform("nbest", lambda x: x["score"])
+    exact = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), scores.alias("scores"), "nbest", exact.alias("round_trip"))
+
+
+QUERIES = {"op2_token_counts": op2_token_counts, "op10_sentencepiece_nbest": op10_sentencepiece_nbest, "op3_license_scan": op3_license_scan, "op1_language_id": op1_language_id, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
 ORACLE = {"op8_benchmark_decontamination": OP8_SQL, "op4_line_dedup": OP4_SQL}
