@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import documents, scratch
 from .decontaminate import contaminated_words
 from .fingerprint import fingerprint_edits
+from .hmm_lm import score_texts
 from .jaccard_join import near_duplicates
 from .language_id import identify, train
 from .license_scan import scan_licenses
@@ -110,5 +111,12 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), scores.alias("scores"), "nbest", exact.alias("round_trip"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op10_sentencepiece_nbest": op10_sentencepiece_nbest, "op3_license_scan": op3_license_scan, "op1_language_id": op1_language_id, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    out = score_texts(docs, docs.where(~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op9_lm_scoring": op9_lm_scoring, "op2_token_counts": op2_token_counts, "op10_sentencepiece_nbest": op10_sentencepiece_nbest, "op3_license_scan": op3_license_scan, "op1_language_id": op1_language_id, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
 ORACLE = {"op8_benchmark_decontamination": OP8_SQL, "op4_line_dedup": OP4_SQL}

@@ -76,3 +76,27 @@ def shingle_sets(texts: list[str | None], width: int = 5, chunk: int = 4 << 20)
 def signature(hashes: np.ndarray) -> bytes:
     """128 bits that tell sets apart."""
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def word_hashes(texts: list[str | None], chunk: int = 4 << 20) -> Iterator[np.ndarray]:
+    """For every text the hashes of its words in order, as in shingle_sets; none for null and blank texts."""
+    at = 0
+    while at < len(texts):
+        words: list[bytes] = []
+        counts: list[int] = []
+        size = 0
+        while at < len(texts) and (not counts or size < chunk):
+            own = (texts[at] or "").encode("utf-8", "surrogatepass").lower().split()
+            size += len(texts[at] or "")
+            words += own
+            counts.append(len(own))
+            at += 1
+        hashes = np.empty(0, np.uint64)
+        if words:
+            raw = np.frombuffer(b" ".join(words), np.uint8)
+            gaps = np.flatnonzero(raw == 32)
+            starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(raw)]))
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(_BYTES[raw] * _power(_BASE, len(raw)), out=sums[1:])
+            hashes = mixed((sums[ends] - sums[starts]) * _power(_INVERSE, len(raw))[starts])
+        yield from np.split(hashes, np.cumsum(counts)[:-1])
