@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +70,12 @@ def query_text(terms: Column) -> Column:
 def english_aliases(aliases: Column, fallback: Column) -> Column:
     """The ASCII names with a letter of a pipe-separated list, first spelling of each; else the fallback."""
     names = F.filter(F.transform(F.split(F.coalesce(aliases, F.lit("")), r"\|"), clean), lambda a: a.rlike(r"^[\x00-\x7F]+$") & a.rlike("[A-Za-z]"))
-    one = F.filter(names, lambda a, i: F.array_position(F.transform(names, lambda x: F.lower(x)), F.lower(a)) == i + 1)
+
+    def first(own: Column) -> Column:
+        low = F.transform(own, lambda x: F.lower(x))
+        return F.filter(own, lambda a, i: F.array_position(low, F.lower(a)) == i + 1)
+
+    one = F.get(F.transform(F.array(names), first), 0)
     return F.when(F.size(one) > 0, one).otherwise(F.array(fallback))
 
 
@@ -136,18 +142,27 @@ def word_features(text: Column) -> Column:
     """Tokens of two letters or more that are no stopwords, and neighbouring pairs joined by '_'."""
     stop = F.array(*map(F.lit, STOPWORDS))
     tokens = F.filter(F.regexp_extract_all(text, F.lit(r"[a-z0-9]+(?:'[a-z]+)?"), F.lit(0)), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
-    pairs = F.filter(F.transform(tokens, lambda t, i: F.concat_ws("_", t, F.get(tokens, i + 1))), lambda p: F.contains(p, F.lit("_")))
-    return F.concat(tokens, pairs)
+
+    def with_pairs(t: Column) -> Column:
+        # bound once: a lambda that named the expression would compute it for every element
+        pairs = F.transform(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.concat_ws("_", x, F.get(t, i + 1)))
+        return F.concat(t, pairs)
+
+    return F.get(F.transform(F.array(tokens), with_pairs), 0)
 
 
 def character_features(text: Column, least: int = 3, most: int = 5) -> Column:
     """All substrings of least to most characters, spaces included."""
 
-    def of(n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+    def of(t: Column) -> Column:
+        sizes = [F.transform(F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>")), partial(_piece, t, n)) for n in range(least, most + 1)]
+        return F.concat(*sizes)
+
+    return F.get(F.transform(F.array(text), of), 0)
+
 
-    return F.concat(*[of(n) for n in range(least, most + 1)])
+def _piece(text: Column, n: int, start: Column) -> Column:
+    return F.substring(text, start, F.lit(n))
 
 
 def containment(a: Column, b: Column) -> Column:
