@@ -15,28 +15,29 @@ pair by pair.  So a group of m near copies costs m tests and not m squared, and
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, stored
 from .components import components
 from .shingles import mixed, shingle_sets, signature
 
-SLOT_BITS = 20
+SLOT_BITS = 22
 BITMAP_BITS = 26
 
 
 def _pieces(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["piece", "counts"])
 
 
 def _token_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents' tokens fall into each of 2 ** SLOT_BITS slots; 8 MB whatever the corpus."""
-    piece = 1 << 12
+    """How many documents' tokens fall into each of 2 ** SLOT_BITS slots; 32 MB whatever the corpus."""
+    piece = 1 << 14
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(1 << SLOT_BITS, np.int64)
@@ -50,59 +51,78 @@ def _token_counts(docs: DataFrame, width: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(raw, np.int64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(raw), np.int64)
         yield _pieces(sums)
 
     schema = "piece int, counts binary"
     parts = docs.select("text").mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema)
     out = np.zeros(1 << SLOT_BITS, np.int64)
     for row in parts.collect():
-        out[row["piece"] * piece : (row["piece"] + 1) * piece] = np.frombuffer(row["counts"], np.int64)
+        out[row["piece"] * piece : (row["piece"] + 1) * piece] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     return out
 
 
-def prefix_keys(tokens: np.ndarray, slots: np.ndarray, crowded: int, percent: int) -> np.ndarray:
-    """The keys of one set: single rare tokens of its prefix, and neighbouring frequent ones of the extended prefix."""
+def prefix_keys(tokens: np.ndarray, slots: np.ndarray, crowded: int, percent: int) -> tuple[np.ndarray, int, int]:
+    """(keys, singles, f) of one set: first the `singles` keys that are tokens of the prefix, then those of
+    neighbouring frequent tokens of the extended prefix, both by place; f tokens are frequent."""
     n = len(tokens)
     if n == 0:
-        return tokens
+        return tokens, 0, 0
     counts = slots[(tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
     order = np.lexsort((tokens, counts))
     ranked, frequent = tokens[order], counts[order] >= crowded
+    f = int(frequent.sum())
     length = n - -(-percent * n // 100) + 1
-    keys = [ranked[:length][~frequent[:length]]]
     t = percent / 100
-    if n * (3 * t / (1 + t) - 1) < 2:  # so small that neighbours may not agree
-        keys.append(ranked[:length][frequent[:length]])
-    common = ranked[frequent]
-    reach = 2 * len(common) - -(-2 * percent * n // 100) + 3
-    if reach >= 2:
-        part = common[:reach]
-        keys.append(mixed(part[:-1] * np.uint64(0x9E3779B97F4A7C15) + mixed(part[1:])))
-    return np.unique(np.concatenate(keys))
+    tiny = n * (3 * t / (1 + t) - 1) < 2  # so small that neighbours may not agree
+    singles = ranked[:length] if tiny else ranked[: min(length, n - f)]
+    common = ranked[n - f :]
+    reach = 2 * f - -(-2 * percent * n // 100) + 3
+    if reach < 2:
+        return singles, len(singles), f
+    part = common[:reach]
+    pairs = np.unique(mixed(part[:-1] * np.uint64(0x9E3779B97F4A7C15) + mixed(part[1:])))
+    return np.concatenate((singles, pairs)), len(singles), f
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, sig, keys) of every row."""
     slots = _token_counts(docs, width)
-    mean = int(slots.sum()) // len(slots)
-    crowded = max(64, 2 * mean + 32)
-    shared = docs.sparkSession.sparkContext.broadcast(slots)
+    usual = float(np.median(slots))  # what tokens of one document each bring into a slot, by chance
+    crowded = int(usual + 6 * usual**0.5) + 16
+    shared = docs.sparkSession.sparkContext.broadcast(slots.astype(np.int32) if slots.max() < 1 << 31 else slots)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            n, sig, keys = [], [], []
+            n, sig, keys, singles, frequent = [], [], [], [], []
             for tokens in shingle_sets(batch.column(1).to_pylist(), width):
+                own, k, f = prefix_keys(tokens, counts, crowded, percent)
                 n.append(len(tokens))
                 sig.append(signature(tokens))
-                keys.append(prefix_keys(tokens, counts, crowded, percent).view(np.int64))
+                keys.append(own.view(np.int64))
+                singles.append(k)
+                frequent.append(f)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists], ["doc_id", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(singles, pa.int32()), pa.array(frequent, pa.int32()), lists], ["doc_id", "n", "sig", "singles", "f", "keys"])
 
-    return docs.mapInArrow(make, f"doc_id {dict(docs.dtypes)['doc_id']}, n bigint, sig binary, keys array<bigint>")
+    return docs.mapInArrow(make, f"doc_id {dict(docs.dtypes)['doc_id']}, n bigint, sig binary, singles int, f int, keys array<bigint>")
+
+
+def _may_match(x: str, y: str, percent: int) -> Column:
+    """Whether two classes that share a key can reach the threshold by what the key tells of them.
+
+    o is the overlap that their sizes ask for.  A pair's first shared token stands, in either, where o
+    tokens can still follow; so a single key further on need not be looked at.  A pair found by frequent
+    tokens alone shares no more than the lesser number of them.
+    """
+    c = lambda side, name: F.col(f"{side}.{name}")
+    o = F.ceil(percent * (c(x, "n") + c(y, "n")) / (100 + percent))
+    single = (c(x, "pos") >= 0) & (c(y, "pos") >= 0) & (c(x, "pos") <= c(x, "n") - o) & (c(y, "pos") <= c(y, "n") - o)
+    double = (c(x, "pos") < 0) & (c(y, "pos") < 0) & (F.least(c(x, "f"), c(y, "f")) >= o)
+    return (F.least(c(x, "n"), c(y, "n")) >= o) & (single | double)
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -171,15 +191,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     docs = docs.select("doc_id", "text")
     sets = stored(_sets(docs, width, percent), "shingle-sets")
     there = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = stored(there.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
-    entries = there.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
+    reps = stored(there.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("f").alias("f")), "classes")
+    place = F.when(F.col("i") < F.col("singles"), F.col("i")).otherwise(-1)
+    entries = there.select(F.posexplode("keys").alias("i", "key"), "singles", F.col("doc_id").alias("rep")).select("key", "rep", place.alias("pos"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("key")
     met = entries.join(shared, "key", "left_semi")
-    sizes = reps.groupBy("rep").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    met = stored(met.join(sizes, "rep").distinct(), "shared-keys")
+    # a document with several texts keeps the bounds that let most through
+    sizes = reps.groupBy("rep").agg(F.struct(F.max("n").alias("n"), F.max("f").alias("f"), F.count(F.lit(1)).alias("texts")).alias("_s"))
+    met = met.join(sizes, "rep").select("key", "rep", "_s.n", "_s.f", "_s.texts", "pos").groupBy("key", "rep", "n", "f", "texts").agg(F.min("pos").alias("pos"))
+    met = stored(met, "shared-keys")
     edges: list[DataFrame] = []
-    pivots = met.groupBy("key").agg(F.min("rep").alias("a"))
-    stars = met.join(pivots, "key").where(F.col("a") != F.col("rep")).groupBy("a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    pivots = met.groupBy("key").agg(F.min_by(F.struct("rep", "n", "f", "texts", "pos"), "rep").alias("p")).select("key", "p.*")
+    loose = lambda x, y: (F.col(f"{x}.texts") > 1) | (F.col(f"{y}.texts") > 1) | _may_match(x, y, percent)
+    stars = met.alias("x").join(pivots.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & loose("x", "y"))
+    stars = stars.groupBy(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     stars = stored(stars, "stars")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
     tested = stored(best, "pairs")
@@ -192,8 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
             split = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h")).select("key")
             apart = stored(named.join(split, "key", "left_semi"), "apart")
             x, y = apart.alias("x"), apart.alias("y")
-            near = (F.col("x.n_max") * 100 >= F.col("y.n_min") * percent) & (F.col("y.n_max") * 100 >= F.col("x.n_min") * percent)
-            todo = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near)
+            todo = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & loose("x", "y"))
             todo = todo.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         if turn == "stars":
             named = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
