@@ -217,3 +217,15 @@ def test_latency_and_checks(spark):
     assert (r.runs, r.median_ms, r.stable) == (3, 2.0, True) and r.p95_ms == pytest.approx(2.9)
     got = T.quality_check(rows, "n", F.lit(True), F.lit(False)).first()
     assert (got.percentage, got.status) == (None, "FAIL")
+
+
+def test_assistant_intents(spark):
+    from tidemark.operators import assistant as A
+
+    cases = [("Which two companies share the most events?", True), ("哪两家公司共同事件最多?", True), ("Which company has the most related events?", False), ("Tell me about Acme", False)]
+    rows = spark.createDataFrame([(q,) for q, _ in cases], "q string")
+    assert [r[0] for r in rows.select(A.asks_top_pair(F.col("q"))).collect()] == [want for _, want in cases]
+    companies = spark.createDataFrame([("C1", "Acme Holdings", "AC", ["the anvil firm"]), ("C2", "Beta Company", "BT", [])], "company_id string, name string, symbol string, aliases array<string>")
+    asked = spark.createDataFrame([("1", "How is acme doing?"), ("2", "BT and the anvil firm"), ("3", "abt nothing")], "question_id string, question string")
+    got = {(r.question_id, r.company_id, r.place) for r in A.mentions(asked, companies).collect()}
+    assert got == {("1", "C1", 1), ("2", "C1", 1), ("2", "C2", 2)}
