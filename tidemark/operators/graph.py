@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared folder, its lineage cut."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")

@@ -101,7 +101,7 @@ def find_credentials(value: object, path: str = "$") -> list[str]:
     elif isinstance(value, (list, tuple)):
         for i, v in enumerate(value):
             found += find_credentials(v, f"{path}[{i}]")
-    elif isinstance(value, str) and re.search(r"(?i)\b(bearer\s+\S{12,}|neo4j\+s?://\S+:\S+@)", value):
+    elif isinstance(value, str) and re.search(r"(?i)\b(bearer\s+\S{12,}|[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@)", value):
         found.append(path)
     return found
 
