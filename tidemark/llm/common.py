@@ -27,12 +27,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     Where the setting is absent (a local session, as in tests) a temporary folder stands in;
     a session on a cluster must name the folder.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
