@@ -69,8 +69,11 @@ class PieceModel:
         for piece in list(self.table):  # None: a piece's beginning that is no piece
             for n in range(1, len(piece)):
                 self.table.setdefault(piece[:n], None)
-        inside = "".join(map(re.escape, sorted(joined))) or "a"
-        self.cut = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{inside}{SPACE}]", re.DOTALL).findall
+        # letters and others are cut apart if no piece holds both side by side
+        mixed = any(a.isalpha() != b.isalpha() and SPACE not in (a, b) for p in self.table for a, b in zip(p, p[1:], strict=False))
+        classes = [joined] if mixed else [{c for c in joined if c.isalpha()}, {c for c in joined if not c.isalpha()}]
+        runs = ["".join(map(re.escape, sorted(c))) for c in classes if c]
+        self.cut = re.compile("|".join([*[f"{SPACE}*[{r}]+" for r in runs], f"{SPACE}+", "."]), re.DOTALL).findall
         self.memory: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
         self.close: dict[str, list[tuple[float, bytes]]] = {}
