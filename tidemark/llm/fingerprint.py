@@ -18,7 +18,7 @@ MAX_LEXICON = 50_000
 
 
 def lexicon(texts: DataFrame, low: float = 0.002, high: float = 0.05, subsets: int = 32, share: int = 48, max_terms: int = MAX_LEXICON) -> DataFrame:
-    """(term, tid, subset) for terms found in a share of low to high of all texts.
+    """(term, tag) for terms found in a share of low to high of all texts; tag % subsets is a sub-lexicon, tag // subsets tells its term.
 
     At most max_terms terms: where the band holds more, low is doubled until it fits, so the result
     has a bound whatever the corpus.  Every term falls into each of `subsets` sub-lexicons with
@@ -32,15 +32,16 @@ def lexicon(texts: DataFrame, low: float = 0.002, high: float = 0.05, subsets: i
         floor *= 2
     kept = counts.where(F.col("df") >= floor)
     picks = F.filter(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda r: F.pmod(F.xxhash64("term", r), F.lit(share)) == 0)
-    return kept.select("term", F.xxhash64("term").alias("tid"), F.explode(picks).alias("subset"))
+    tid = F.pmod(F.xxhash64(F.lit("term"), "term"), F.lit((1 << 30) // subsets)).cast("int")
+    return kept.select("term", F.explode(F.transform(picks, lambda r: tid * subsets + r)).alias("tag"))
 
 
-def subset_hashes(tagged: Column, subsets: int) -> Column:
-    """The last 8 hex digits of a 64-bit hash for each sub-lexicon, joined by '-', of sorted struct(subset, tid); '' where it keeps no term."""
+def subset_hashes(tags: Column, subsets: int) -> Column:
+    """The last 8 hex digits of a 64-bit hash for each sub-lexicon, joined by '-', of sorted tags; '' where it keeps no term."""
 
     def one(r: Column) -> Column:
-        own = F.filter(tagged, lambda t: t["subset"] == r)
-        return F.when(F.size(own) > 0, F.substring(F.lower(F.hex(F.xxhash64(F.transform(own, lambda t: t["tid"])))), -8, 8)).otherwise("")
+        own = F.filter(tags, lambda t: F.pmod(t, F.lit(subsets)) == r)
+        return F.when(F.size(own) > 0, F.substring(F.lower(F.hex(F.xxhash64(own))), -8, 8)).otherwise("")
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), one), "-")
 
@@ -57,9 +58,8 @@ def fingerprints(texts: DataFrame, lex: DataFrame, key: str, text: str = "text",
     """(key, fingerprint) of every row; key must be unique.  Null text has no terms."""
     none = F.array(F.lit(None).cast("string"))
     terms = texts.select(key, F.explode(F.concat(none, F.array_distinct(word_array(F.col(text))))).alias("term"))
-    marked = terms.join(F.broadcast(lex), "term", "left").where(F.col("subset").isNotNull() | F.col("term").isNull())
-    tagged = F.when(F.col("subset").isNotNull(), F.struct("subset", "tid"))
-    return marked.groupBy(key).agg(F.array_sort(F.collect_set(tagged)).alias("_t")).select(key, subset_hashes(F.col("_t"), subsets).alias("fingerprint"))
+    marked = terms.join(F.broadcast(lex), "term", "left").where(F.col("tag").isNotNull() | F.col("term").isNull())
+    return marked.groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("_t")).select(key, subset_hashes(F.col("_t"), subsets).alias("fingerprint"))
 
 
 def with_next(docs: DataFrame, rows_per_bucket: int = 2000, max_buckets: int = 16384) -> DataFrame:
@@ -121,8 +121,8 @@ def fingerprint_edits(docs: DataFrame, low: float = 0.002, high: float = 0.05, s
     facts = F.struct("doc_id", "_next_rid", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     spread = rows.select("_rid", F.posexplode(F.concat(head, terms("text", 0), terms("edited", 1))).alias("_i", "_t"), facts.alias("_facts"))
     spread = spread.select("_rid", F.col("_t.which").alias("which"), F.col("_t.term").alias("term"), F.when(F.col("_i") == 0, F.col("_facts")).alias("_facts"))
-    marked = spread.join(F.broadcast(lex), "term", "left").where(F.col("subset").isNotNull() | (F.col("which") == 2))
-    tags = lambda which: F.array_sort(F.collect_set(F.when(F.col("which") == which, F.struct("subset", "tid"))))
+    marked = spread.join(F.broadcast(lex), "term", "left").where(F.col("tag").isNotNull() | (F.col("which") == 2))
+    tags = lambda which: F.array_sort(F.collect_set(F.when(F.col("which") == which, F.col("tag"))))
     made = marked.groupBy("_rid").agg(F.array_compact(F.collect_list("_facts")).alias("_f"), tags(0).alias("_a"), tags(1).alias("_b"))
     made = made.select("_rid", F.get("_f", 0).alias("_f"), subset_hashes(F.col("_a"), subsets).alias("fingerprint"), subset_hashes(F.col("_b"), subsets).alias("edited_fingerprint"))
     made = stored(made.select("_rid", "_f.*", "fingerprint", "edited_fingerprint"), "fingerprints")
