@@ -186,6 +186,16 @@ def train(texts: DataFrame, vocab: Vocabulary, docs: int, states: int = 8, round
     weights[vocab.other + 1] = docs
     model = HiddenMarkov.initial(weights, states)
     shared = spark.sparkContext.broadcast(vocab)
+    kind = np.uint16 if vocab.other + 1 < 1 << 16 else np.uint32
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols, lengths, _, _ = _symbols(list(word_hashes(batch.column(0).to_pylist())), shared.value)
+            raw, ends = symbols.astype(kind).tobytes(), np.cumsum(lengths) * kind().itemsize
+            yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else [], pa.binary())], ["symbols"])
+
+    # every round reads the texts' symbols, made once
+    coded = stored(texts.select("text").mapInArrow(encode, "symbols binary"), "symbols")
     schema = "piece int, sums binary"
     size = 1 + states + states * states + len(weights) * states
     for _ in range(rounds):
@@ -194,7 +204,9 @@ def train(texts: DataFrame, vocab: Vocabulary, docs: int, states: int = 8, round
         def expect(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(size)
             for batch in batches:
-                symbols, lengths, _, _ = _symbols(list(word_hashes(batch.column(0).to_pylist())), shared.value)
+                rows = batch.column(0).to_pylist()
+                symbols = np.frombuffer(b"".join(rows), kind).astype(np.int64)
+                lengths = np.array([len(r) for r in rows]) // kind().itemsize
                 for group in _groups(lengths):
                     like, starts, moves, emits = current.value.expected(_pick(symbols, lengths, group), lengths[group])
                     sums += np.concatenate(([like], starts, moves.ravel(), emits.ravel()))
@@ -209,7 +221,7 @@ def train(texts: DataFrame, vocab: Vocabulary, docs: int, states: int = 8, round
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "sums"])
 
         sums = np.zeros(size)
-        for row in texts.select("text").mapInArrow(expect, schema).repartition("piece").mapInArrow(add, schema).collect():
+        for row in coded.mapInArrow(expect, schema).repartition("piece").mapInArrow(add, schema).collect():
             part = np.frombuffer(row["sums"])
             sums[row["piece"] * PIECE : row["piece"] * PIECE + len(part)] += part
         starts, rest = sums[1 : 1 + states], sums[1 + states :]
