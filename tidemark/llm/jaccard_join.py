@@ -81,7 +81,7 @@ def prefix_keys(tokens: np.ndarray, slots: np.ndarray, crowded: int, percent: in
     if reach < 2:
         return singles, len(singles), f
     part = common[:reach]
-    pairs = np.unique(mixed(part[:-1] * np.uint64(0x9E3779B97F4A7C15) + mixed(part[1:])))
+    pairs = mixed(part[:-1] * np.uint64(0x9E3779B97F4A7C15) + mixed(part[1:]))
     return np.concatenate((singles, pairs)), len(singles), f
 
 
@@ -116,12 +116,14 @@ def _may_match(x: str, y: str, percent: int) -> Column:
 
     o is the overlap that their sizes ask for.  A pair's first shared token stands, in either, where o
     tokens can still follow; so a single key further on need not be looked at.  A pair found by frequent
-    tokens alone shares no more than the lesser number of them.
+    tokens alone shares no more than the lesser number of them; it has two shared neighbours among the
+    first f_x + f_y - 2 o + 2 shared tokens, before which either has f - o others at most.
     """
     c = lambda side, name: F.col(f"{side}.{name}")
     o = F.ceil(percent * (c(x, "n") + c(y, "n")) / (100 + percent))
     single = (c(x, "pos") >= 0) & (c(y, "pos") >= 0) & (c(x, "pos") <= c(x, "n") - o) & (c(y, "pos") <= c(y, "n") - o)
-    double = (c(x, "pos") < 0) & (c(y, "pos") < 0) & (F.least(c(x, "f"), c(y, "f")) >= o)
+    reach = lambda p, q: -1 - c(p, "pos") <= 2 * c(p, "f") + c(q, "f") - 3 * o
+    double = (c(x, "pos") < 0) & (c(y, "pos") < 0) & (F.least(c(x, "f"), c(y, "f")) >= o) & reach(x, y) & reach(y, x)
     return (F.least(c(x, "n"), c(y, "n")) >= o) & (single | double)
 
 
@@ -192,13 +194,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     sets = stored(_sets(docs, width, percent), "shingle-sets")
     there = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = stored(there.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("f").alias("f")), "classes")
-    place = F.when(F.col("i") < F.col("singles"), F.col("i")).otherwise(-1)
+    place = F.when(F.col("i") < F.col("singles"), F.col("i")).otherwise(F.col("singles") - F.col("i") - 1)
     entries = there.select(F.posexplode("keys").alias("i", "key"), "singles", F.col("doc_id").alias("rep")).select("key", "rep", place.alias("pos"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("key")
     met = entries.join(shared, "key", "left_semi")
     # a document with several texts keeps the bounds that let most through
     sizes = reps.groupBy("rep").agg(F.struct(F.max("n").alias("n"), F.max("f").alias("f"), F.count(F.lit(1)).alias("texts")).alias("_s"))
-    met = met.join(sizes, "rep").select("key", "rep", "_s.n", "_s.f", "_s.texts", "pos").groupBy("key", "rep", "n", "f", "texts").agg(F.min("pos").alias("pos"))
+    met = met.join(sizes, "rep").select("key", "rep", "_s.n", "_s.f", "_s.texts", "pos").groupBy("key", "rep", "n", "f", "texts").agg(F.min_by("pos", F.abs("pos")).alias("pos"))
     met = stored(met, "shared-keys")
     edges: list[DataFrame] = []
     pivots = met.groupBy("key").agg(F.min_by(F.struct("rep", "n", "f", "texts", "pos"), "rep").alias("p")).select("key", "p.*")
