@@ -20,6 +20,26 @@ from .token_counts import TokenLedger
 WORDS_SQL = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    out = identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = TokenLedger(spark, scratch(spark, "token-ledger"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
+    ledger.commit("load", inserts=docs)
+    ledger.commit("load", inserts=docs)  # a batch that is delivered twice counts once
+    return ledger.totals()
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "license_spans")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_common_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_length=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -40,6 +60,26 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(c.k)::BIGINT AS n_dropped,
 FROM keyed LEFT JOIN common c USING (k) GROUP BY doc_id
 """
 
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), percent=75, width=5)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = BlobLedger(spark, scratch(spark, "secret-ledger"))
+    out = ledger.scan(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", batch="0")
+    base = F.filter("spans", lambda s: s["ord"] < len(BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contaminated_words(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, k=5)
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -65,51 +105,6 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = BlobLedger(spark, scratch(spark, "secret-ledger"))
-    out = ledger.scan(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", batch="0")
-    base = F.filter("spans", lambda s: s["ord"] < len(BASE))
-
-    def count(kind: str) -> Column:
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-
-    return out.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
-
-
-def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(documents(spark, sf_dir))
-
-
-def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), percent=75, width=5)
-
-
-def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    model = train(docs.where(~held_out).select("doc_id", "text", "lang"))
-    out = identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
-    return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
-
-
-def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "license_spans")
-
-
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = TokenLedger(spark, scratch(spark, "token-ledger"))
-    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
-    ledger.commit("load", inserts=docs)
-    ledger.commit("load", inserts=docs)  # a batch that is delivered twice counts once
-    return ledger.totals()
-
-
-def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decode_pieces(encode_pieces(documents(spark, sf_dir).select("doc_id", "text")))
-    scores = F.transform("nbest", lambda x: x["score"])
-    exact = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), scores.alias("scores"), "nbest", exact.alias("round_trip"))
-
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -118,5 +113,23 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op9_lm_scoring": op9_lm_scoring, "op2_token_counts": op2_token_counts, "op10_sentencepiece_nbest": op10_sentencepiece_nbest, "op3_license_scan": op3_license_scan, "op1_language_id": op1_language_id, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_secret_scan": op6_secret_scan, "op7_document_fingerprints": op7_document_fingerprints, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op4_line_dedup": op4_line_dedup}
-ORACLE = {"op8_benchmark_decontamination": OP8_SQL, "op4_line_dedup": OP4_SQL}
+def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode_pieces(encode_pieces(documents(spark, sf_dir).select("doc_id", "text")))
+    scores = F.transform("nbest", lambda x: x["score"])
+    exact = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), scores.alias("scores"), "nbest", exact.alias("round_trip"))
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_sentencepiece_nbest": op10_sentencepiece_nbest,
+}
+ORACLE = {"op4_line_dedup": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL}
