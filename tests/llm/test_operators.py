@@ -262,6 +262,19 @@ def test_scores_count_exactly_and_training_helps(spark):
 
 
 @needs_tokenizers
+def test_every_training_token_has_its_own_emissions(spark):
+    rng = random.Random(11)
+    left, right = ([f"{c}{i}" for i in range(30)] for c in "lr")
+    learn = frame(spark, [(i, " ".join(rng.choices(left if i % 2 else right, k=12))) for i in range(200)])
+    pure, mixed = " ".join(left[:12]), " ".join(x for p in zip(left[:6], right[:6], strict=True) for x in p)
+    docs = frame(spark, [(1, pure), (2, mixed), (3, "never seen"), (None, None), (5, pure), (5, pure)])
+    few, all_ = ({(r.doc_id, r.n_tokens): r for r in hmm_lm.score_texts(docs, learn, states=2, rounds=6, symbols=n).collect()} for n in (4, 1000))
+    assert len(few) == 5 and few[1, 13].n_known == 13 and few[3, 3].n_known == 1
+    for k, r in few.items():  # what is broadcast does not change what is learnt
+        assert r.score == pytest.approx(all_[k].score, rel=1e-4) and r.base_score == pytest.approx(all_[k].base_score)
+    assert few[1, 13].score > few[2, 13].score + 1
+
+
 def test_token_ledger(spark, tmp_path):
     schema = "doc_id bigint, source string, lang string, text string"
     ledger = TokenLedger(spark, str(tmp_path / "ledger"))

@@ -1,10 +1,10 @@
 """A hidden Markov language model, trained by Baum-Welch over all training texts.
 
-Tokens are words, then one end.  They are counted exactly; the most frequent are the model's symbols
-and the rest share one, within which a token's probability is its smoothed relative count, so the model
-is a distribution over all token sequences.  Each round, every partition runs scaled forward-backward
-over its texts and hands on expected counts; only their sums, whose size the symbols and states bound,
-reach the driver.  Scores come from the scaled forward recursion and are exact for the model.
+Tokens are words, then one end.  They are counted exactly, and every training token has emissions of its
+own; one more symbol stands for a token never seen, so the model is a distribution over all token
+sequences.  Texts are coded in blocks.  Each round, every block runs scaled forward-backward and hands on
+expected counts by token.  The emissions of frequent tokens are broadcast; all others stay in tables and
+are sent to the blocks that hold the tokens.  Scores come from the scaled forward recursion.
 
 Tokens are told apart by 64-bit hashes.
 """
@@ -17,16 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, ship, stored
+from .common import ship, stored
 from .shingles import word_hashes
 
 #: The end of a text, as a token: no word hashes to it but by chance of 1 in 2 ** 64.
 END = np.uint64(0x656E64656E64)
 MAX_FREQUENT = 200_000
-PIECE = 1 << 14
+#: Distinct tokens to a bucket, about; the number of buckets grows with the vocabulary.
+BUCKET = 50_000
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -53,27 +55,28 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """tokens ascending with their counts; symbol is a token's number in the model, or `other`."""
+    """The frequent tokens ascending with their counts; of all n training words there are v distinct ones."""
 
     tokens: np.ndarray
     counts: np.ndarray
-    symbols: np.ndarray
-    other: int  # the end is other + 1
     n: int
     v: int
-    rest: float  # the sum of c + 1 over the tokens that share `other`, and 1 for one never seen
 
-    def encode(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbol, log10(c + 1), whether the count is here) of each token."""
+    #: Symbols of a block: a frequent token's place, then the end, a token never seen, and the block's seldom tokens.
+    @property
+    def end(self) -> int:
+        return len(self.tokens)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is here) of each token."""
         if not len(self.tokens):
-            return np.full(len(hashes), self.other), np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
         at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
-        hit = self.tokens[at] == hashes
-        return np.where(hit, self.symbols[at], self.other), np.where(hit, np.log10(self.counts[at] + 1.0), 0.0), hit
+        return at, self.tokens[at] == hashes
 
 
-def vocabulary(counts: DataFrame, symbols: int = 16_384, most: int = MAX_FREQUENT) -> tuple[Vocabulary, int]:
-    """The frequent tokens of (token, c), at most `most` of them, and the least count among those."""
+def vocabulary(counts: DataFrame, most: int = MAX_FREQUENT) -> Vocabulary:
+    """The frequent tokens of (token, c), at most `most` of them."""
     counts = counts.where(F.col("token") != int(END.view(np.int64)))
     steps = [1 << k for k in range(50)]
     row = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), *[F.sum((F.col("c") >= s).cast("long")).alias(f"at{s}") for s in steps]).first()
@@ -81,12 +84,7 @@ def vocabulary(counts: DataFrame, symbols: int = 16_384, most: int = MAX_FREQUEN
     got = counts.where(F.col("c") >= least).toArrow()
     tokens, c = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy().astype(np.int64)
     order = np.argsort(tokens)
-    tokens, c = tokens[order], c[order]
-    top = np.lexsort((tokens, -c))[:symbols]
-    numbers = np.full(len(tokens), len(top), np.int64)
-    numbers[np.sort(top)] = np.arange(len(top))
-    rest = float((row["n"] or 0) - c[top].sum() + (row["v"] - len(top)) + 1)
-    return Vocabulary(tokens, c, numbers, len(top), row["n"] or 0, row["v"], rest), least
+    return Vocabulary(tokens[order], c[order], row["n"] or 0, row["v"])
 
 
 @dataclass
@@ -142,14 +140,6 @@ class HiddenMarkov:
         emits = np.stack([np.bincount(symbols, gammas[:, k], len(self.emit)) for k in range(states)], axis=1)
         return float(total.sum()), gammas[starts].sum(axis=0), moves * self.move, emits
 
-    @staticmethod
-    def from_counts(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, weights: np.ndarray) -> HiddenMarkov:
-        """The next parameters; a little of the overall weights keeps every emission possible."""
-        share = (weights + 1e-3) / (weights + 1e-3).sum()
-        emits = emits + 2.0 * share[:, None]
-        moves, starts = moves + 0.1, starts + 0.1
-        return HiddenMarkov(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
-
 
 def _groups(lengths: np.ndarray, most: int = 400_000) -> Iterator[np.ndarray]:
     """Sequences from long to short, in groups of about `most` tokens."""
@@ -162,130 +152,237 @@ def _groups(lengths: np.ndarray, most: int = 400_000) -> Iterator[np.ndarray]:
         at = stop
 
 
-def _symbols(hashes: list[np.ndarray], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols with ends, lengths, log10(c + 1) of words, whether known here) of texts one after another; the latter two without ends."""
-    sizes = np.array([len(h) for h in hashes])
-    symbols, logs, hit = vocab.encode(np.concatenate(hashes) if hashes else np.empty(0, np.uint64))
-    ends = np.cumsum(sizes)
-    return np.insert(symbols, ends, vocab.other + 1), sizes + 1, logs, hit
+def _blocks(rows: DataFrame, shared, buckets: int, name: str) -> DataFrame:
+    """Rows (id, text) as blocks of about 400,000 symbols, longest text first, with each block's distinct seldom tokens by bucket."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, block = shared.value, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            hashes = list(word_hashes(batch.column(1).to_pylist()))
+            lengths = np.array([len(h) + 1 for h in hashes], np.int64)
+            for group in _groups(lengths):
+                words = np.concatenate([hashes[i] for i in group])
+                symbols, hit = vocab.find(words)
+                tail, where = np.unique(words[~hit], return_inverse=True)
+                order = np.argsort(tail % np.uint64(buckets), kind="stable")
+                place = np.empty(len(tail), np.int64)
+                place[order] = np.arange(len(tail))
+                symbols[~hit] = vocab.end + 2 + place[where]
+                symbols = np.insert(symbols, np.cumsum(lengths[group] - 1), vocab.end)
+                made = [pa.array([x.tobytes()], pa.binary()) for x in (symbols.astype(np.uint32), lengths[group], tail[order])]
+                ids = pa.ListArray.from_arrays(pa.array([0, len(group)], pa.int32()), batch.column(0).take(pa.array(group)))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), ids, *made], ["block", "ids", "symbols", "lengths", "tail"])
+                block += 1
+
+    kind = rows.dtypes[0][1]
+    return stored(rows.mapInArrow(encode, f"block bigint, ids array<{kind}>, symbols binary, lengths binary, tail binary"), name)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Removes the Parquet files that df was read from."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _mail(rows: list[tuple]) -> pa.Table:
+    """Rows of MAIL."""
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    kinds = [("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("sums", pa.binary())]
+    return pa.table([pa.array(list(c), t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+
+
+MAIL = "kind int, bucket int, block bigint, tokens binary, sums binary"
+#: Kinds of mail: from a block to a bucket about seldom and about frequent tokens, a block's sums without tokens,
+#: and from a bucket its frequent and its seldom tokens, and what a block asked about.
+SELDOM, FREQUENT, WHOLE, SHARED, KEPT, REPLY = range(6)
+
+
+def _by_bucket(tokens: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    own = (tokens % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    cuts = np.flatnonzero(np.diff(own[order])) + 1
+    for places in np.split(order, cuts):
+        if len(places):
+            yield int(own[places[0]]), places
+
+
+def _jitter(tokens: np.ndarray, states: int) -> np.ndarray:
+    """0.2 to 1.8 for each token and state, by hash: states part from there."""
+    out = np.empty((len(tokens), states))
+    for k in range(states):
+        x = (tokens ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = 0.2 + 1.6 * ((x >> np.uint64(11)).astype(float) / (1 << 53))
+    return out
+
 
+def _replies(rows: pa.Table, width: int, kind) -> np.ndarray:
+    """What buckets told a block, in the order of its seldom tokens."""
+    told = sorted((b, raw) for b, raw in zip(rows["bucket"].to_pylist(), rows["sums"].to_pylist(), strict=True) if raw is not None)
+    return np.frombuffer(b"".join(raw for _, raw in told), kind).reshape(-1, width)
 
-def _pick(symbols: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> np.ndarray:
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))[group]
-    own = lengths[group]
-    offset = np.repeat(starts - np.concatenate(([0], np.cumsum(own)[:-1])), own)
-    return symbols[offset + np.arange(own.sum())]
 
+def _block(rows: pa.Table) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    row = next(r for r in rows.select(["ids", "symbols", "lengths", "tail"]).to_pylist() if r["symbols"] is not None)
+    return row, np.frombuffer(row["symbols"], np.uint32).astype(np.int64), np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["tail"], np.uint64)
 
-def train(texts: DataFrame, vocab: Vocabulary, docs: int, states: int = 8, rounds: int = 4) -> HiddenMarkov:
-    """Baum-Welch over all rows of texts, `docs` in number; no rows leave the initial model."""
+
+def _with_mail(blocks: DataFrame, mail: DataFrame | None) -> DataFrame:
+    """The blocks and the replies to them, grouped by block."""
+    if mail is not None:
+        blocks = blocks.unionByName(mail.where(F.col("kind") == REPLY).select("block", "bucket", "sums"), allowMissingColumns=True)
+    else:
+        blocks = blocks.select("*", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("sums"))
+    return blocks.select("block", "ids", "symbols", "lengths", "tail", "bucket", "sums").groupBy("block")
+
+
+@dataclass
+class Trained:
+    """The model with the emissions of frequent tokens, end and a token never seen; those of seldom tokens are (sums + more) / norm, with the sums as mail of kind KEPT."""
+
+    model: HiddenMarkov
+    more: np.ndarray
+    norm: np.ndarray
+    kept: DataFrame | None
+
+
+def train(texts: DataFrame, vocab: Vocabulary, docs: int, buckets: int, states: int = 8, rounds: int = 4) -> Trained:
+    """Baum-Welch over all rows of texts, `docs` in number; no rows leave the initial model.
+
+    Every training token has emissions of its own.  Those of frequent tokens are broadcast.  The others
+    go by mail: a block sends its expected counts to the buckets of its tokens, which add them up and
+    send back what becomes of the tokens that the block asked about.
+    """
     spark = texts.sparkSession
-    weights = np.zeros(vocab.other + 2)
-    np.add.at(weights, vocab.symbols, vocab.counts.astype(float))
-    weights[vocab.other] = vocab.rest
-    weights[vocab.other + 1] = docs
-    model = HiddenMarkov.initial(weights, states)
     shared = spark.sparkContext.broadcast(vocab)
-    kind = np.uint16 if vocab.other + 1 < 1 << 16 else np.uint32
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            symbols, lengths, _, _ = _symbols(list(word_hashes(batch.column(0).to_pylist())), shared.value)
-            raw, ends = symbols.astype(kind).tobytes(), np.cumsum(lengths) * kind().itemsize
-            yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else [], pa.binary())], ["symbols"])
-
-    # every round reads the texts' symbols, made once
-    coded = stored(texts.select("text").mapInArrow(encode, "symbols binary"), "symbols")
-    schema = "piece int, sums binary"
-    size = 1 + states + states * states + len(weights) * states
-    for _ in range(rounds):
-        current = spark.sparkContext.broadcast(model)
-
-        def expect(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(size)
-            for batch in batches:
-                rows = batch.column(0).to_pylist()
-                symbols = np.frombuffer(b"".join(rows), kind).astype(np.int64)
-                lengths = np.array([len(r) for r in rows]) // kind().itemsize
-                for group in _groups(lengths):
-                    like, starts, moves, emits = current.value.expected(_pick(symbols, lengths, group), lengths[group])
-                    sums += np.concatenate(([like], starts, moves.ravel(), emits.ravel()))
-            parts = [(i, sums[a : a + PIECE].tobytes()) for i, a in enumerate(range(0, size, PIECE))]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["piece", "sums"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    total[i] = total.get(i, 0) + np.frombuffer(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "sums"])
-
-        sums = np.zeros(size)
-        for row in coded.mapInArrow(expect, schema).repartition("piece").mapInArrow(add, schema).collect():
-            part = np.frombuffer(row["sums"])
-            sums[row["piece"] * PIECE : row["piece"] * PIECE + len(part)] += part
-        starts, rest = sums[1 : 1 + states], sums[1 + states :]
-        model = HiddenMarkov.from_counts(starts, rest[: states * states].reshape(states, states), rest[states * states :].reshape(-1, states), weights)
-    return model
-
-
-def score_texts(docs: DataFrame, training: DataFrame, states: int = 8, rounds: int = 4, symbols: int = 16_384) -> DataFrame:
+    blocks = _blocks(texts.select(F.lit(None).cast("boolean").alias("doc_id"), "text"), shared, buckets, "symbols")
+    move = np.full((states, states), 1.0) + 4 * np.eye(states)
+    ends = np.array([END, np.uint64(0)], np.uint64)
+    trained = Trained(HiddenMarkov(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), _jitter(np.concatenate((vocab.tokens, ends)), states)), np.zeros(states), np.ones(states), None)
+    whole = 2 * states + states * states
+    mail, cleanup = None, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")  # a round's shuffle files go when it is stored
+    for turn in range(rounds if docs else 0):
+        current, last = spark.sparkContext.broadcast((trained.model, trained.more, trained.norm)), turn == rounds - 1
+
+        def expect(rows, *, current=current, turn=turn):
+            (model, more, norm), vocab = current.value, shared.value
+            block = rows["block"][0].as_py()
+            _, symbols, lengths, tail = _block(rows)
+            own = (_replies(rows, states, np.float32) + more) / norm if turn else _jitter(tail, states)
+            _, starts, moves, emits = HiddenMarkov(model.start, model.move, np.concatenate((model.emit, own))).expected(symbols, lengths)
+            end = vocab.end
+            out = [(WHOLE, -1 - block % 16, block, None, np.concatenate((starts, moves.ravel(), emits[end])).tobytes())]
+            met = np.flatnonzero(emits[:end].sum(axis=1) > 0)
+            for kind, tokens, sums in ((SELDOM, tail, emits[end + 2 :]), (FREQUENT, vocab.tokens[met], emits[met])):
+                out += [(kind, b, block, tokens[at].tobytes(), sums[at].astype(np.float32).tobytes()) for b, at in _by_bucket(tokens, buckets)]
+            return _mail(out)
+
+        def add(rows, *, last=last):
+            bucket, kinds, raw = rows["bucket"][0].as_py(), rows["kind"].to_pylist(), rows["sums"].to_pylist()
+            if bucket < 0:
+                return _mail([(WHOLE, bucket, None, None, sum(np.frombuffer(x) for x in raw).tobytes())])
+            named = [np.frombuffer(x, np.uint64) for x in rows["tokens"].to_pylist()]
+            tokens, where = np.unique(np.concatenate(named), return_inverse=True)
+            sums = np.frombuffer(b"".join(raw), np.float32).reshape(-1, states)
+            total = np.stack([np.bincount(where, sums[:, k], len(tokens)) for k in range(states)], axis=1)
+            out, parts = [], np.split(where, np.cumsum([len(x) for x in named])[:-1])
+            frequent = np.zeros(len(tokens), bool)
+            for kind, block, at in zip(kinds, rows["block"].to_pylist(), parts, strict=True):
+                if kind == FREQUENT:
+                    frequent[at] = True
+                elif not last:
+                    out.append((REPLY, bucket, block, None, total[at].astype(np.float32).tobytes()))
+            out.append((SHARED, bucket, None, tokens[frequent].tobytes(), total[frequent].tobytes()))
+            if last:  # a token's expected counts add up to its count
+                out.append((KEPT, bucket, None, tokens[~frequent].tobytes(), np.concatenate((np.rint(total.sum(axis=1))[:, None], total), axis=1)[~frequent].tobytes()))
+            return _mail(out)
+
+        read = mail
+        mail = stored(_with_mail(blocks, mail).applyInArrow(expect, MAIL).groupBy("bucket").applyInArrow(add, MAIL), "mail")
+        sums, emit = np.zeros(whole), np.zeros((vocab.end + 2, states))
+        for row in mail.where(F.col("kind").isin(WHOLE, SHARED)).select("kind", "tokens", "sums").collect():
+            if row["kind"] == WHOLE:
+                sums += np.frombuffer(row["sums"])
+            else:
+                emit[np.searchsorted(vocab.tokens, np.frombuffer(row["tokens"], np.uint64))] = np.frombuffer(row["sums"]).reshape(-1, states)
+        starts, moves, end = sums[:states] + 0.1, sums[states:-states].reshape(states, states) + 0.1, sums[-states:]
+        # every token but a text's last, its end, is left by a move
+        visits = sums[states:-states].reshape(states, states).sum(axis=1) + end
+        emit[vocab.end] = end
+        # every token, the end and one never seen occur once more, in all states by their visits
+        more = (visits + 1) / (visits + 1).sum()
+        norm = visits + more * (vocab.v + 2)
+        trained = Trained(HiddenMarkov(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), (emit + more) / norm), more, norm, mail.where(F.col("kind") == KEPT) if last else None)
+        current.unpersist()
+        if read is not None:
+            drop_stored(read)
+    drop_stored(blocks)
+    spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+    return trained
+
+
+def score_texts(docs: DataFrame, training: DataFrame, states: int = 8, rounds: int = 4, symbols: int = MAX_FREQUENT) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text), learning from training (text).
 
     Null and empty texts are a lone end.  base_score is the add-one unigram log10-probability, score the
-    model's.  Without training rows every token is unknown and the base probability is 1.  Rows that
-    share a doc_id are each scored.
+    model's.  Without training rows every token is unknown and the base probability is 1.  At most
+    `symbols` tokens are broadcast; the result is the same for any number.
     """
     spark = docs.sparkSession
     ship(spark)
     counts = stored(token_counts(training), "token-counts")
-    vocab, least = vocabulary(counts, symbols)
+    vocab = vocabulary(counts, symbols)
     ends = counts.where(F.col("token") == int(END.view(np.int64))).agg(F.sum("c")).first()[0] or 0
-    model = train(training, vocab, ends, states, rounds)
-    shared, learnt = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast(model)
-    fields = ["doc_id", "_th", "n_tokens", "known", "logs", "others", "other_logs", "like", "rare", "times"]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model = shared.value, learnt.value
-        for batch in batches:
-            hashes = list(word_hashes(batch.column(2).to_pylist()))
-            symbols, lengths, logs, hit = _symbols(hashes, vocab)
-            like = np.zeros(len(hashes))
-            for group in _groups(lengths):
-                like[group] = model.forward(_pick(symbols, lengths, group), lengths[group])[0]
-            starts = np.concatenate(([0], np.cumsum(lengths - 1)))
-            words = np.delete(symbols, np.cumsum(lengths) - 1)
-            running = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[starts])
-            other = words == vocab.other
-            rare, times = [], []
-            for i, own in enumerate(hashes):
-                r, n = np.unique(own[~hit[starts[i] : starts[i + 1]]], return_counts=True)
-                rare.append(r.view(np.int64))
-                times.append(n)
-            sums = [np.array([math.fsum(x[starts[i] : starts[i + 1]]) for i in range(len(hashes))]) for x in (logs, np.where(other, logs, 0.0))]
-            made = [lengths, running(hit).round().astype(np.int64), sums[0], running(other).round().astype(np.int64), sums[1], like / math.log(10)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, made), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], fields)
-
+    buckets = max(1, -(-vocab.v // BUCKET))
+    trained = train(training, vocab, ends, buckets, states, rounds)
+    shared, learnt = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast((trained.model, trained.more, trained.norm))
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(*row_key(), "text").mapInArrow(score, f"doc_id {kind}, _th bigint, n_tokens bigint, known bigint, logs double, others bigint, other_logs double, like double, rare array<bigint>, times array<bigint>")
-    rows = stored(rows, "scored")
-    met = rows.select("doc_id", "_th", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("doc_id", "_th", F.col("z.rare").alias("token"), F.col("z.times").alias("m"))
-    seldom = counts.where((F.col("c") < least) & (F.col("token") != int(END.view(np.int64))))
-    met = met.join(seldom, "token")  # tokens never seen in training add log10(1) = 0
-    found = met.groupBy("doc_id", "_th").agg(F.sum("m").alias("_known"), F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("_logs"), F.count(F.lit(1)).alias("_rows"))
-    return _finish(rows, found, vocab, ends)
-
-
-def _finish(rows: DataFrame, found: DataFrame, vocab: Vocabulary, ends: int) -> DataFrame:
-    """Puts together what was summed beside the frequent tokens and by the join with the seldom ones."""
-    copies = rows.groupBy("doc_id", "_th").agg(F.count(F.lit(1)).alias("_copies"))
-    found = found.join(copies.where("_copies > 1").withColumnRenamed("doc_id", "_i").withColumnRenamed("_th", "_t"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
-    share = F.coalesce("_copies", F.lit(1))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_dh"), (F.col("_known") / share).cast("long").alias("_known"), (F.col("_logs") / share).alias("_logs"))
-    out = rows.drop("rare", "times").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_dh")), "left")
-    seldom = F.coalesce("_logs", F.lit(0.0))
+    blocks = _blocks(docs.select("doc_id", "text"), shared, buckets, "scored")
     total, types = vocab.n + ends, vocab.v + (1 if ends else 0)
-    base = F.col("logs") + seldom + F.lit(math.log10(ends + 1)) - F.col("n_tokens") * F.lit(math.log10(total + types + 1))
-    score = F.col("like") + F.col("other_logs") + seldom - F.col("others") * F.lit(math.log10(vocab.rest))
-    known = F.col("known") + F.coalesce("_known", F.lit(0)) + F.lit(1 if ends else 0)
-    return out.select("doc_id", "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = np.frombuffer(raw, np.uint64)
+                yield from _mail([(SELDOM, b, block, tokens[at].tobytes(), None) for b, at in _by_bucket(tokens, buckets)]).to_batches()
+
+    def answer(rows):
+        letters = rows.to_pylist()
+        kept = next((r for r in letters if r["kind"] == KEPT), None)
+        tokens = np.frombuffer(kept["tokens"] if kept else b"", np.uint64)
+        sums = np.frombuffer(kept["sums"] if kept else b"").reshape(-1, states + 1)
+        # after the last a token never seen, with count 0
+        sums = np.concatenate((sums, np.zeros((1, states + 1))))
+        out = []
+        for r in letters:
+            if r["kind"] == SELDOM:
+                own = np.frombuffer(r["tokens"], np.uint64)
+                at = np.searchsorted(tokens, own)
+                at[np.append(tokens, np.uint64(0))[at] != own] = len(tokens)
+                out.append((REPLY, r["bucket"], r["block"], None, sums[at].astype(np.float32).tobytes()))
+        return _mail(out)
+
+    def score(rows):
+        (model, more, norm), vocab = learnt.value, shared.value
+        row, symbols, lengths, _ = _block(rows)
+        told = _replies(rows, states + 1, np.float32).astype(float)
+        seen = told[:, 0] > 0
+        own = np.where(seen[:, None], (told[:, 1:] + more) / norm, model.emit[vocab.end + 1])
+        like = HiddenMarkov(model.start, model.move, np.concatenate((model.emit, own))).forward(symbols, lengths)[0]
+        known = np.concatenate((np.ones(vocab.end, np.int64), [1 if ends else 0, 0], seen.astype(np.int64)))[symbols]
+        logs = np.log10(np.concatenate((vocab.counts, [ends, 0], told[:, 0])) + 1.0)[symbols]
+        cuts = np.concatenate(([0], np.cumsum(lengths)))
+        base = np.array([math.fsum(logs[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]) - lengths * math.log10(total + types + 1)
+        made = [lengths, np.add.reduceat(known, cuts[:-1]), np.full(len(lengths), total), base, like / math.log(10)]
+        ids = rows["ids"].combine_chunks().drop_null().flatten()
+        return pa.table([ids, *map(pa.array, made)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    mail = blocks.select("block", "tail").mapInArrow(ask, MAIL)
+    if trained.kept is not None:
+        mail = mail.unionByName(trained.kept)
+    mail = mail.groupBy("bucket").applyInArrow(answer, MAIL)
+    return _with_mail(blocks, mail).applyInArrow(score, f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
