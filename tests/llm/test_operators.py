@@ -190,6 +190,24 @@ def test_fingerprints(spark):
     assert fingerprint_edits(frame(spark, [])).count() == 0
 
 
+def prose(rng, vocab, n):
+    return " ".join(rng.choices(vocab, k=n))
+
+
+def test_fingerprints_of_long_and_short_texts(spark):
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows = [(i, prose(rng, vocab, 900 if i % 2 else 20)) for i in range(120)]
+    out = {r.doc_id: r for r in fingerprint_edits(frame(spark, rows), low=0.001, high=0.9).collect()}
+    for part in (0, 1):  # two thirds of a text stay, half of all terms of both
+        near = sorted(r.near_edited for i, r in out.items() if i % 2 == part)
+        assert near[len(near) // 2] > 0.2 and near[len(near) // 10] > 0
+    assert max(r.near_next for r in out.values()) < 0.5
+    # a lexicon that is too large to broadcast is joined whole
+    shuffled = {r.doc_id: r for r in fingerprint_edits(frame(spark, rows), low=0.001, high=0.9, max_terms=0).collect()}
+    assert shuffled == out
+
+
 def test_licenses(spark):
     index = LicenseIndex()
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction"

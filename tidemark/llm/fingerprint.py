@@ -1,8 +1,11 @@
 """I-Match fingerprints over randomised lexicons, in DataFrame operations only.
 
-The lexicon holds the terms whose inverse document frequency lies in a band; each of several random
-sub-lexicons keeps a share of it.  A text's fingerprint is, for each sub-lexicon, a hash of the sorted
-distinct terms it keeps of the text; likeness is the share of sub-lexicons that agree.
+The lexicon holds the terms whose inverse document frequency lies in a band.  At
+level L each of several random sub-lexicons keeps 2 ** -L of it, and what it keeps at a level it also
+keeps at those below.  A text is told at the level at which a sub-lexicon keeps half a term to one term
+of it, and at the next, so long and short texts both have few terms in each.  Its fingerprint is, for
+each level and sub-lexicon, a hash of the sorted distinct terms kept of the text; likeness is the share
+of sub-lexicons that agree at the levels that two texts have in common.
 """
 
 from __future__ import annotations
@@ -13,53 +16,74 @@ from pyspark.sql import Window as W
 
 from .common import stored, word_array
 
-#: The lexicon is broadcast; a band that gives more terms loses its rarest until it fits.
+#: A lexicon of more terms is not broadcast: the join shuffles both sides.
 MAX_LEXICON = 50_000
+#: A text without lexicon terms is told by as many of its own, those of least hash.
+OWN_TERMS = 32
 
 
-def lexicon(texts: DataFrame, low: float = 0.002, high: float = 0.05, subsets: int = 32, share: int = 48, max_terms: int = MAX_LEXICON) -> DataFrame:
-    """(term, tag) for terms found in a share of low to high of all texts; tag % subsets is a sub-lexicon, tag // subsets tells its term.
+def lexicon(texts: DataFrame, low: float = 0.002, high: float = 0.05) -> DataFrame:
+    """(term, known) for terms found in a share of low to high of all texts.
 
-    At most max_terms terms: where the band holds more, low is doubled until it fits, so the result
-    has a bound whatever the corpus.  Every term falls into each of `subsets` sub-lexicons with
-    probability 1 / share, by hash.  No texts or no terms in the band: no rows.
+    No texts or no terms in the band: no rows.
     """
     total = texts.count()
-    floor = max(2.0, low * total)
     terms = texts.select(F.explode(F.array_distinct(word_array(F.col("text")))).alias("term"))
-    counts = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= floor) & (F.col("df") <= max(high * total, 2.0))), "lexicon")
-    while counts.where(F.col("df") >= floor).count() > max_terms:
-        floor *= 2
-    kept = counts.where(F.col("df") >= floor)
-    picks = F.filter(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda r: F.pmod(F.xxhash64("term", r), F.lit(share)) == 0)
-    tid = F.pmod(F.xxhash64(F.lit("term"), "term"), F.lit((1 << 30) // subsets)).cast("int")
-    return kept.select("term", F.explode(F.transform(picks, lambda r: tid * subsets + r)).alias("tag"))
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return stored(counts.where((F.col("df") >= max(2.0, low * total)) & (F.col("df") <= max(high * total, 2.0))).select("term", F.lit(True).alias("known")), "lexicon")
 
 
-def subset_hashes(tags: Column, subsets: int) -> Column:
-    """The last 8 hex digits of a 64-bit hash for each sub-lexicon, joined by '-', of sorted tags; '' where it keeps no term."""
+def term_id(term: Column) -> Column:
+    """Terms are told apart by 32 bits."""
+    return F.hash(term)
 
-    def one(r: Column) -> Column:
-        own = F.filter(tags, lambda t: F.pmod(t, F.lit(subsets)) == r)
-        return F.when(F.size(own) > 0, F.substring(F.lower(F.hex(F.xxhash64(own))), -8, 8)).otherwise("")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), one), "-")
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once however often then names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def fingerprint(ids: Column, subsets: int) -> Column:
+    """level/hashes/hashes, of a text's distinct term ids, not empty: at the level and the next, the last 8 hex digits of a hash for each sub-lexicon, joined by '-', '' where it keeps none."""
+    width = F.lit((1 << subsets) - 1)
+
+    def bits(t: Column, i: Column) -> Column:  # each set with probability 1/2
+        return F.xxhash64(t, i).bitwiseAND(width)
+
+    def kept(level: Column, t: Column) -> Column:
+        one = F.aggregate(F.sequence(F.lit(0), level), width, lambda m, i: F.when(i == 0, m).otherwise(m.bitwiseAND(bits(t, i))))
+        return F.struct(t.alias("t"), one.alias("m"))
+
+    def hashes(terms: Column) -> Column:
+        def one(r: Column) -> Column:
+            kept = F.filter(terms, lambda x: F.getbit(x["m"], r) == 1)
+            return _let(kept, lambda own: F.when(F.size(own) > 0, F.substring(F.lower(F.hex(F.xxhash64(own["t"]))), -8, 8)).otherwise(""))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), one), "-")
+
+    def at(level: Column, ids: Column) -> Column:
+        here = F.filter(F.transform(ids, lambda t: kept(level, t)), lambda x: x["m"] != 0)
+
+        def both(terms: Column) -> Column:
+            above = F.filter(F.transform(terms, lambda x: F.struct(x["t"].alias("t"), x["m"].bitwiseAND(bits(x["t"], level + 1)).alias("m"))), lambda x: x["m"] != 0)
+            return F.concat_ws("/", level.cast("string"), hashes(terms), _let(above, hashes))
+
+        return _let(here, both)
+
+    return _let(F.array_sort(ids), lambda own: _let(F.ceil(F.log2(F.size(own))).cast("int"), lambda level: at(level, own)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal fingerprints, else the share of agreeing among the sub-lexicons in which either is not empty."""
-    pairs = F.arrays_zip(F.split(a, "-", -1).alias("x"), F.split(b, "-", -1).alias("y"))
+    """1 for equal fingerprints, else the share of agreeing among the sub-lexicons in which either is not empty, at the common levels; 0 without any."""
+    x, y = F.split(a, "/", -1), F.split(b, "/", -1)
+    apart = F.get(y, 0).cast("int") - F.get(x, 0).cast("int")
+    none = F.lit(None).cast("string")
+    left = F.when(apart == 0, F.concat_ws("-", F.get(x, 1), F.get(x, 2))).when(apart == 1, F.get(x, 2)).when(apart == -1, F.get(x, 1)).otherwise(none)
+    right = F.when(apart == 0, F.concat_ws("-", F.get(y, 1), F.get(y, 2))).when(apart == 1, F.get(y, 1)).when(apart == -1, F.get(y, 2)).otherwise(none)
+    pairs = F.arrays_zip(F.split(left, "-", -1).alias("x"), F.split(right, "-", -1).alias("y"))
     told = F.size(F.filter(pairs, lambda p: (p["x"] != "") | (p["y"] != "")))
     same = F.size(F.filter(pairs, lambda p: (p["x"] != "") & (p["x"] == p["y"])))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(same.cast("double"), told.cast("double")), F.lit(0.0)))
-
-
-def fingerprints(texts: DataFrame, lex: DataFrame, key: str, text: str = "text", subsets: int = 32) -> DataFrame:
-    """(key, fingerprint) of every row; key must be unique.  Null text has no terms."""
-    none = F.array(F.lit(None).cast("string"))
-    terms = texts.select(key, F.explode(F.concat(none, F.array_distinct(word_array(F.col(text))))).alias("term"))
-    marked = terms.join(F.broadcast(lex), "term", "left").where(F.col("tag").isNotNull() | F.col("term").isNull())
-    return marked.groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("_t")).select(key, subset_hashes(F.col("_t"), subsets).alias("fingerprint"))
+    return F.when(a == b, F.lit(1.0)).when(F.abs(apart) > 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(same.cast("double"), told.cast("double")), F.lit(0.0)))
 
 
 def with_next(docs: DataFrame, rows_per_bucket: int = 2000, max_buckets: int = 16384) -> DataFrame:
@@ -101,31 +125,41 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.left(text, F.length(text) - n), F.left(following, n))
 
 
-def fingerprint_edits(docs: DataFrame, low: float = 0.002, high: float = 0.05, subsets: int = 32, share: int = 48) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, low: float = 0.002, high: float = 0.05, subsets: int = 32, max_terms: int = MAX_LEXICON) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next for every row of docs.
 
-    Null text is empty; texts without lexicon terms have the same, empty fingerprint; a single document
-    is its own next.  Repeated rows each count and follow one another.
+    Null text is empty; texts without lexicon terms are told by their own, and texts without any term by
+    themselves; a single document is its own next.  Repeated rows each count and follow one another.
     """
     docs = docs.select("doc_id", "text")
-    lex = lexicon(docs, low, high, subsets, share)
+    lex = lexicon(docs.select(F.coalesce("text", F.lit("")).alias("text")), low, high)
+    if lex.count() <= max_terms:
+        lex = F.broadcast(lex)
     rows = with_next(docs)
     change = edited(F.col("text"), F.col("_next_text"))
-    rows = rows.select("doc_id", "_rid", "_next_rid", "text", change.alias("edited"))
+    rows = rows.select("doc_id", "_rid", "_next_rid", F.coalesce("text", F.lit("")).alias("text"), change.alias("edited"))
+    rows = rows.select("*", F.array_distinct(word_array(F.col("text"))).alias("_x"), F.array_distinct(word_array(F.col("edited"))).alias("_y"))
     none = F.array(F.lit(None).cast("string"))
 
     def terms(c: str, which: int) -> Column:
-        return F.transform(F.array_distinct(word_array(F.col(c))), lambda t: F.struct(F.lit(which).alias("which"), t.alias("term")))
+        return F.transform(c, lambda t: F.struct(F.lit(which).alias("which"), t.alias("term")))
+
+    def own(words: str, text: str) -> Column:
+        ids = F.slice(F.array_sort(F.array_distinct(F.transform(words, term_id))), 1, OWN_TERMS)
+        return F.when(F.size(words) > 0, ids).otherwise(F.array(term_id(F.concat(F.lit(" "), F.col(text)))))
 
+    rows = rows.select("*", own("_x", "text").alias("_own_a"), own("_y", "edited").alias("_own_b"))
     head = F.transform(none, lambda t: F.struct(F.lit(2).alias("which"), t.alias("term")))
-    facts = F.struct("doc_id", "_next_rid", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    spread = rows.select("_rid", F.posexplode(F.concat(head, terms("text", 0), terms("edited", 1))).alias("_i", "_t"), facts.alias("_facts"))
+    facts = F.struct("doc_id", "_next_rid", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "_own_a", "_own_b")
+    spread = rows.select("_rid", F.posexplode(F.concat(head, terms("_x", 0), terms("_y", 1))).alias("_i", "_t"), facts.alias("_facts"))
     spread = spread.select("_rid", F.col("_t.which").alias("which"), F.col("_t.term").alias("term"), F.when(F.col("_i") == 0, F.col("_facts")).alias("_facts"))
-    marked = spread.join(F.broadcast(lex), "term", "left").where(F.col("tag").isNotNull() | (F.col("which") == 2))
-    tags = lambda which: F.array_sort(F.collect_set(F.when(F.col("which") == which, F.col("tag"))))
-    made = marked.groupBy("_rid").agg(F.array_compact(F.collect_list("_facts")).alias("_f"), tags(0).alias("_a"), tags(1).alias("_b"))
-    made = made.select("_rid", F.get("_f", 0).alias("_f"), subset_hashes(F.col("_a"), subsets).alias("fingerprint"), subset_hashes(F.col("_b"), subsets).alias("edited_fingerprint"))
-    made = stored(made.select("_rid", "_f.*", "fingerprint", "edited_fingerprint"), "fingerprints")
+    marked = spread.join(lex, "term", "left").where(F.col("known") | (F.col("which") == 2))
+    ids = lambda which: F.collect_set(F.when(F.col("which") == which, term_id(F.col("term"))))
+    made = marked.groupBy("_rid").agg(F.array_compact(F.collect_list("_facts")).alias("_f"), ids(0).alias("_a"), ids(1).alias("_b"))
+    pick = lambda c, fallback: F.when(F.size(c) > 0, F.col(c)).otherwise(F.get("_f", 0)[fallback])
+    made = made.select("_rid", F.get("_f", 0).alias("_f"), pick("_a", "_own_a").alias("_a"), pick("_b", "_own_b").alias("_b"))
+    made = made.select("_rid", "_f.doc_id", "_f._next_rid", "_f.n_chars", "_f.edited_sha256", fingerprint(F.col("_a"), subsets).alias("fingerprint"), fingerprint(F.col("_b"), subsets).alias("edited_fingerprint"))
+    made = stored(made, "fingerprints")
     following = made.select(F.col("_rid").alias("_next_rid"), F.col("fingerprint").alias("_next"))
     out = made.join(following, "_next_rid", "left")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
