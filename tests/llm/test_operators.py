@@ -208,6 +208,22 @@ def test_fingerprints_of_long_and_short_texts(spark):
     assert shuffled == out
 
 
+def test_fingerprints_where_copies_hold_a_third(spark):
+    rng = random.Random(22)
+    vocab = [f"w{i}" for i in range(200)]
+    hot = "hot copies with words of their own and " + prose(rng, vocab, 30)
+    rows = [(i, hot) for i in range(60)] + [(100 + i, prose(rng, vocab, 40)) for i in range(120)]
+    rows += [(900, "unlike anything"), (901, "wholly other words"), (902, "!!"), (903, "??"), (904, None), (905, "")]
+    out = {r.doc_id: r for r in fingerprint_edits(frame(spark, rows), low=0.01, high=0.25).collect()}
+    assert out[5].near_next == 1.0 and len({out[i].fingerprint for i in range(60)}) == 1
+    # the hot text is told by the words it shares with others, though 60 rows hold them
+    assert "".join(out[5].fingerprint.split("/")[1:]).strip("-") and out[5].fingerprint != out[100].fingerprint
+    assert all(r.near_edited > 0.2 for i, r in out.items() if 0 < i < 60)  # two thirds stay
+    told = [out[i].fingerprint for i in range(900, 906)]
+    assert len(set(told)) == 5 and told[4] == told[5]
+    assert out[901].near_next == 0 and out[903].near_next == 0
+
+
 def test_licenses(spark):
     index = LicenseIndex()
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction"

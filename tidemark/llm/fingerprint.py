@@ -1,6 +1,6 @@
 """I-Match fingerprints over randomised lexicons, in DataFrame operations only.
 
-The lexicon holds the terms whose inverse document frequency lies in a band.  At
+The lexicon holds the terms whose inverse document frequency, over distinct texts, lies in a band.  At
 level L each of several random sub-lexicons keeps 2 ** -L of it, and what it keeps at a level it also
 keeps at those below.  A text is told at the level at which a sub-lexicon keeps half a term to one term
 of it, and at the next, so long and short texts both have few terms in each.  Its fingerprint is, for
@@ -23,13 +23,16 @@ OWN_TERMS = 32
 
 
 def lexicon(texts: DataFrame, low: float = 0.002, high: float = 0.05) -> DataFrame:
-    """(term, known) for terms found in a share of low to high of all texts.
+    """(term, known) for terms found in a share of low to high of all distinct texts.
 
-    No texts or no terms in the band: no rows.
+    Copies of a text count as one: each of n copies adds 1 / n.  No texts or no terms in the band: no rows.
     """
-    total = texts.count()
-    terms = texts.select(F.explode(F.array_distinct(word_array(F.col("text")))).alias("term"))
-    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = texts.select("text", F.xxhash64("text").alias("_h"), F.xxhash64(F.reverse("text")).alias("_g"))
+    groups = stored(rows.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n")), "texts")
+    total = groups.count()
+    rows = rows.join(groups.where("_n > 1"), ["_h", "_g"], "left").withColumn("_w", 1.0 / F.coalesce("_n", F.lit(1)))
+    terms = rows.select("_w", F.explode(F.array_distinct(word_array(F.col("text")))).alias("term"))
+    counts = terms.groupBy("term").agg(F.round(F.sum("_w"), 6).alias("df"))
     return stored(counts.where((F.col("df") >= max(2.0, low * total)) & (F.col("df") <= max(high * total, 2.0))).select("term", F.lit(True).alias("known")), "lexicon")
 
 
