@@ -229,3 +229,18 @@ def test_assistant_intents(spark):
     asked = spark.createDataFrame([("1", "How is acme doing?"), ("2", "BT and the anvil firm"), ("3", "abt nothing")], "question_id string, question string")
     got = {(r.question_id, r.company_id, r.place) for r in A.mentions(asked, companies).collect()}
     assert got == {("1", "C1", 1), ("2", "C1", 1), ("2", "C2", 2)}
+
+
+def test_mentions_compare_whole_texts_of_any_ids(spark, tmp_path):
+    from tidemark.plans.proxy import Graph
+    from tidemark.plans.text_queries import canonical_events, similar_mentions
+
+    opening = "one title\nsecond line\nthird line\n"
+    bodies = ["\n".join(f"{c}{i} {c}{i + 1} word{c}{i}" for i in range(60)) for c in "pqr"]
+    texts = {1: opening + bodies[0], 2: opening + bodies[1], 16: opening + bodies[0], 40: "other title\nnew\nlines\n" + bodies[2], 55: "last title\nmore\nrows\n" + bodies[2]}
+    rows = [(i, t, "en", "src0", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    g = Graph(spark, str(tmp_path))
+    found = {(int(r.a[1:]), int(r.b[1:])): r.exact for r in similar_mentions(g).collect()}
+    assert found == {(1, 16): True, (40, 55): False}
+    assert canonical_events(g).count() == 3

@@ -118,9 +118,10 @@ def model_scores(g: Graph) -> DataFrame:
 
 
 def _mentions(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Whole texts as evidence; all dates lie within a week and companies go by language, so neither keeps copies apart."""
     d = g.table("documents")
-    events = d.select(F.concat(F.lit("E"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("event_id"), F.col("doc_id").alias("article_id"), F.col("lang").alias("event_type"), F.date_add(F.lit("2025-07-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("event_date"), F.concat(F.lit("2025-07-"), F.lpad((F.col("doc_id") % 30 + 1).cast("string"), 2, "0")).alias("published_at"), X.title(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).alias("event_title"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 3).alias("evidence"), (F.col("n_chars") % 9).alias("event_score"), F.lit("true").alias("recommended"))
-    links = events.select("event_id", (F.col("article_id") % 2).alias("company_id"), F.lit("true").alias("recommended"), F.lit("0.5").alias("positive"), F.lit("0.5").alias("label_score"), F.lit("5").alias("focus"), F.lit("high").alias("link_confidence"))
+    events = d.select(F.concat(F.lit("E"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("event_id"), F.col("doc_id").alias("article_id"), F.col("lang").alias("event_type"), F.date_add(F.lit("2025-07-01").cast("date"), F.pmod("doc_id", F.lit(8)).cast("int")).alias("event_date"), F.concat(F.lit("2025-07-"), F.lpad((F.pmod("doc_id", F.lit(8)) + 1).cast("string"), 2, "0")).alias("published_at"), X.title(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).alias("event_title"), F.coalesce("text", F.lit("")).alias("evidence"), (F.col("n_chars") % 9).alias("event_score"), F.lit("true").alias("recommended"))
+    links = events.select("event_id", F.when(F.col("event_type") == "en", 0).otherwise(1).cast("bigint").alias("company_id"), F.lit("true").alias("recommended"), F.lit("0.5").alias("positive"), F.lit("0.5").alias("label_score"), F.lit("5").alias("focus"), F.lit("high").alias("link_confidence"))
     return events, links
 
 
