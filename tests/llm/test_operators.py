@@ -20,6 +20,7 @@ from tidemark.llm.fingerprint import fingerprint_edits
 from tidemark.llm.jaccard_join import keep_one, near_duplicates
 from tidemark.llm.license_scan import LicenseIndex, scan_licenses
 from tidemark.llm.line_dedup import drop_common_lines
+from tidemark.llm.queries import QUERIES
 from tidemark.llm.secret_scan import BlobLedger, spans_text
 from tidemark.llm.shingles import shingle_sets
 from tidemark.llm.token_counts import TokenLedger
@@ -362,5 +363,14 @@ def test_nbest_against_all_segmentations(spark):
     assert pieces.encode_pieces(frame(spark, [])).count() == 0
 
 
+@needs_tokenizers
+def test_nbest_query_returns_ids_that_give_the_text(spark, tmp_path):
+    frame(spark, [e for e in EDGE if e[0] != 7]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op10_sentencepiece_nbest"](spark, str(tmp_path))
+    texts = {i: t or "" for i, t in EDGE}
+    model = pieces.load(None)
+    assert all(model.decode(r.ids) == texts[r.doc_id] and r.n_tokens == len(r.ids) and r.round_trip for r in rows.collect())
+
+
 def test_stored_rereads_what_was_written(spark):
     assert stored(frame(spark, EDGE), "t").count() == len(EDGE)

@@ -117,7 +117,7 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decode_pieces(encode_pieces(documents(spark, sf_dir).select("doc_id", "text")))
     scores = F.transform("nbest", lambda x: x["score"])
     exact = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), scores.alias("scores"), "nbest", exact.alias("round_trip"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.xxhash64("ids").alias("ids_hash"), scores.alias("scores"), "nbest", exact.alias("round_trip"))
 
 
 QUERIES = {
