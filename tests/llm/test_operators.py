@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import hmm_lm, language_id, pieces
 from tidemark.llm.common import stored
 from tidemark.llm.components import components
@@ -372,5 +373,12 @@ def test_nbest_query_returns_ids_that_give_the_text(spark, tmp_path):
     assert all(model.decode(r.ids) == texts[r.doc_id] and r.n_tokens == len(r.ids) and r.round_trip for r in rows.collect())
 
 
+@needs_tokenizers
+def test_pipeline_decodes_what_it_encodes(spark):
+    name, stage = corpus_pipeline.STAGES[-1]
+    rows = stage(spark, frame(spark, [e for e in EDGE if e[0] != 7]), "").collect()
+    assert name == "sentencepiece" and len(rows) == len(EDGE) - 1 and all(r.round_trip for r in rows)
+
+
 def test_stored_rereads_what_was_written(spark):
     assert stored(frame(spark, EDGE), "t").count() == len(EDGE)
