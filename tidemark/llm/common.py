@@ -21,19 +21,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share (spark.checkpoint.dir).
-
-    Where the setting is absent (a local session, as in tests) a temporary folder stands in;
-    a session on a cluster must name the folder.
-    """
+def _root(spark: SparkSession) -> str:
+    """This application's own folder in spark.checkpoint.dir; it is removed when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _roots.add(root)
+    return root
+
+
+_roots: set[str] = set()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder all executors share (spark.checkpoint.dir).
+
+    Where the setting is absent (a local session, as in tests) a temporary folder stands in;
+    a session on a cluster must name the folder.
+    """
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +59,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(*frames: DataFrame) -> None:
+    """Removes the Parquet files that frames were read from, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many '_' before it as keep it apart from the columns of df, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and leaves every other character as it is."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -55,9 +91,9 @@ def word_array(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def row_key() -> list[Column]:
-    """Tells rows apart that share a doc_id; equal rows get equal results, so they need not be told apart."""
-    return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("_th")]
+def text_key(text: str = "text") -> Column:
+    """With doc_id, tells rows apart that share a doc_id; equal rows get equal results, so they need not be told apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
 _shipped: set[str] = set()

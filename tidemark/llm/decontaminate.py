@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, word_array
+from .common import text_key, unused, word_array
 
 #: Up to so many benchmark grams are broadcast (some 200 bytes each); beyond, the join shuffles both sides.
 MAX_BROADCAST_GRAMS = 200_000
@@ -81,30 +81,31 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     index = benchmark_index(benchmark, window, k)
     sizes = [tuple(r) for r in index.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()]
     total, short = sum(c for _, c in sizes), sorted(n for n, _ in sizes if n)
-    words = docs.select(*row_key(), word_array(F.col("text")).alias("_w"))
-    found = [F.transform(winnowed(grams(F.col("_w"), k), window - k + 1), lambda f: F.struct(F.lit(0).alias("n"), f["pos"].alias("pos"), f["gram"].alias("gram")))]
-    found += [every_gram(F.col("_w"), n) for n in short]
-    marks = words.select("doc_id", "_th", F.explode(F.concat(*found)).alias("_f")).select("doc_id", "_th", F.col("_f.n").alias("n"), F.col("_f.pos").alias("pos"), F.col("_f.gram").alias("gram"))
+    th, i, dh, found_at, own_words = unused(docs, "_th", "_id", "_dh", "_hits", "_w")
+    words = docs.select("doc_id", text_key().alias("th"), word_array(F.col("text")).alias("w"))
+    found = [F.transform(winnowed(grams(F.col("w"), k), window - k + 1), lambda f: F.struct(F.lit(0).alias("n"), f["pos"].alias("pos"), f["gram"].alias("gram")))]
+    found += [every_gram(F.col("w"), n) for n in short]
+    marks = words.select("doc_id", "th", F.explode(F.concat(*found)).alias("f")).select("doc_id", "th", "f.n", "f.pos", "f.gram")
     places = index.groupBy("n", "gram", "shift", "around").agg(F.collect_set("item_id").alias("item_ids"))
     places = F.broadcast(places) if total <= MAX_BROADCAST_GRAMS else places
     hits = marks.join(places, ["n", "gram"])
-    hits = hits.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("pos", "n", "shift", "around", "item_ids")).alias("_hits"))
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_dh"), "_hits").hint("shuffle_hash")
-    both = docs.select("*", row_key()[1]).join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_dh")), "left")
-    both = both.select(*[F.col(c) for c in docs.columns], "_hits", word_array(F.col("text")).alias("_w"))
+    hits = hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n", "shift", "around", "item_ids")).alias(found_at))
+    hits = hits.select(F.col("doc_id").alias(i), F.col("th").alias(dh), found_at).hint("shuffle_hash")
+    both = docs.select("*", text_key().alias(th)).join(hits, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(th) == F.col(dh)), "left")
+    both = both.select(*docs.columns, found_at, word_array(F.col("text")).alias(own_words))
 
     def extend(hit: Column) -> Column:
         """The windows around a hit of which every word agrees."""
         whole = F.array(F.struct(hit["pos"].alias("start"), hit["n"].alias("n"), hit["item_ids"].alias("item_ids")))
-        same = F.slice(F.col("_w"), hit["pos"] + 1, F.greatest(hit["n"], F.lit(1))) == hit["around"]
+        same = F.slice(F.col(own_words), hit["pos"] + 1, F.greatest(hit["n"], F.lit(1))) == hit["around"]
         steps = F.filter(F.sequence(F.lit(0), F.lit(window - k)), lambda s: (s <= hit["shift"]) & (hit["pos"] >= hit["shift"] - s) & (s + window <= F.size(hit["around"])))
         at = lambda s: hit["pos"] - hit["shift"] + s
-        steps = F.filter(steps, lambda s: F.slice(F.col("_w"), at(s) + 1, F.lit(window)) == F.slice(hit["around"], s + 1, F.lit(window)))
+        steps = F.filter(steps, lambda s: F.slice(F.col(own_words), at(s) + 1, F.lit(window)) == F.slice(hit["around"], s + 1, F.lit(window)))
         wide = F.transform(steps, lambda s: F.struct(at(s).alias("start"), F.lit(window).alias("n"), hit["item_ids"].alias("item_ids")))
         return F.when(hit["n"] > 0, F.when(same, whole).otherwise(F.slice(whole, 1, 0))).otherwise(wide)
 
-    starts = F.when(F.col("_hits").isNotNull(), F.flatten(F.transform("_hits", extend)))
-    both = both.select(*docs.columns, F.size("_w").cast("long").alias("n_words"), starts.alias("hit_starts"))
+    starts = F.when(F.col(found_at).isNotNull(), F.flatten(F.transform(found_at, extend)))
+    both = both.select(*docs.columns, F.size(own_words).cast("long").alias("n_words"), starts.alias("hit_starts"))
     covered = F.array_distinct(F.flatten(F.transform("hit_starts", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
     items = F.array_distinct(F.flatten(F.transform("hit_starts", lambda s: s["item_ids"])))
     n_hit = F.coalesce(F.when(F.size("hit_starts") > 0, F.size(covered)), F.lit(0)).cast("long")

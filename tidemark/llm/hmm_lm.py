@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import drop_stored, ship, stored
 from .shingles import word_hashes
 
 #: The end of a text, as a token: no word hashes to it but by chance of 1 in 2 ** 64.
@@ -178,14 +178,6 @@ def _blocks(rows: DataFrame, shared, buckets: int, name: str) -> DataFrame:
     return stored(rows.mapInArrow(encode, f"block bigint, ids array<{kind}>, symbols binary, lengths binary, tail binary"), name)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Removes the Parquet files that df was read from."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _mail(rows: list[tuple]) -> pa.Table:
     """Rows of MAIL."""
     columns = list(zip(*rows, strict=True)) or [[]] * 5
