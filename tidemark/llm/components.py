@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -26,10 +26,14 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         after = stored(small, "edges")
         if after.select("a").intersect(after.select(F.col("b").alias("a"))).isEmpty() and after.groupBy("a").count().where("count > 1").isEmpty():
+            drop_stored(pairs)
             pairs = after
             break
+        drop_stored(pairs)
         pairs = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = pairs.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    out = stored(pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), "roots")
+    drop_stored(pairs)
+    return out
