@@ -15,27 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import ship
+from .license_texts import TEMPLATES
 
 #: Phrases whose words, standing consecutively, give a label by themselves.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Public licence notices and their labels.
-TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("mit", "Permission is hereby granted under the MIT License, free of charge, to any person obtaining a copy of this software."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("mit", "Released under the MIT License."),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
-)
-
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -153,14 +137,17 @@ class LicenseIndex:
         places: list[int] = []
         base: set[str] = set()
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, seen, place = line.find(phrase), 0, 0
             while at >= 0:
-                places.append(line.count(b" ", 0, at))
+                place, seen = place + line.count(b" ", seen, at), at
+                places.append(place)
                 base.add(label)
                 at = line.find(phrase, at + 1)
         spans = self.spans(own) if len(own) >= self.least_run else []
         shares = [(n, first, past, covered, covered / self.sizes[n]) for n, first, past, covered in spans]
         good = [s for s in shares if s[4] >= self.least_cover]
+        # of templates that cover the same words, those that are covered best tell
+        good = [s for s in good if not any(o[1] <= s[1] and s[2] <= o[2] and (o[3], o[4]) > (s[3], s[4]) for o in good)]
         score = max([1.0 * bool(places), *(min(1.0, s[4]) for s in shares)])
         return {"n_words": len(own), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | {self.labels[s[0]] for s in good})), "score": score, "license_spans": [{"label": self.labels[n], "first": first, "stop": past, "share": share} for n, first, past, _, share in good]}
 
