@@ -15,7 +15,7 @@ from tidemark.llm.common import documents, stored
 from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.jaccard_join import keep_one
 from tidemark.llm.line_dedup import drop_common_lines
-from tidemark.llm.pieces import decode_pieces, encode_pieces
+from tidemark.llm.pieces import encode_pieces
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds each text's piece ids and its best segmentations, and whether the ids give the text back."""
-    # stored in between, so that a task has one Python worker at a time
-    out = decode_pieces(stored(encode_pieces(docs), "pieces"))
+    out = encode_pieces(docs, into="decoded")
     return out.withColumn("round_trip", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))).drop("decoded")
 
 

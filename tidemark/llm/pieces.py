@@ -12,14 +12,17 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush, nsmallest
+from heapq import nsmallest
+from itertools import chain as chained
 from itertools import product
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -31,6 +34,11 @@ SPACE = "▁"
 #: Stands for a literal U+2581 in a text while it is cut; no valid text contains it.
 LITERAL = "\udc81"
 REMEMBERED = 200_000
+#: Chunks of up to so many characters are searched by the thousand, longer ones singly.
+SHORT = 32
+#: Texts are taken up together until they have so many characters.
+TOGETHER = 1 << 20
+OPENING = 4
 _models: dict[tuple[str, int], PieceModel] = {}
 
 
@@ -41,6 +49,59 @@ def _picks(sizes: tuple[int, ...], nbest: int) -> list[list[tuple[int, int]]]:
     return [[(i, p) for i, p in enumerate(picks) if p] for picks in every if math.prod(p + 1 for p in picks) <= nbest]
 
 
+class _Finder:
+    """Finds which substrings of many short strings are pieces: a table by hash, and another for pieces whose place is taken."""
+
+    def __init__(self, scores: dict[str, float], ids: dict[int, float]):
+        order = list(scores)
+        self.ids, self.scores = np.array([*ids, -1], np.int32), np.array([*scores.values(), -math.inf])
+        self.longest = max(map(len, order), default=1)
+        self.hashes = np.zeros(len(order) + 1, np.uint64)
+        for n in {len(p) for p in order}:
+            at = [i for i, p in enumerate(order) if len(p) == n]
+            self.hashes[at] = self._all(codes([order[i] for i in at], n), n)[-1][:, 0]
+        self.bits, self.salt, none = len(order).bit_length() + 5, 0, len(order)
+        while True:  # until no two pieces want one place of the second table
+            self.salt += 2
+            places = self._place(self.hashes[:-1], 0)
+            first = np.unique(places, return_index=True)[1]
+            rest = np.setdiff1d(np.arange(none), first)
+            others = self._place(self.hashes[rest], 1)
+            if len(np.unique(others)) == len(rest):
+                break
+        self.tables = [np.full(1 << self.bits, none, np.int32) for _ in range(2)]
+        self.tables[0][places[first]], self.tables[1][others] = first, rest
+
+    def _place(self, h: np.ndarray, table: int) -> np.ndarray:
+        odd = np.uint64((self.salt + table) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
+        return (h * odd) >> np.uint64(64 - self.bits)
+
+    @staticmethod
+    def _all(points: np.ndarray, longest: int) -> list[np.ndarray]:
+        """By length less 1: the hash of the substring of that length at each place."""
+        out = [points.astype(np.uint64) + np.uint64(1)]
+        for n in range(2, longest + 1):
+            out.append((out[-1][:, :-1] * np.uint64(0xD6E8FEB86659FD93)) ^ (points[:, n - 1 :].astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407))
+        return out
+
+    def find(self, points: np.ndarray) -> list[np.ndarray]:
+        """By length less 1: the ordinal of the piece at each place, or that of no piece."""
+        none, out = len(self.hashes) - 1, []
+        for h in self._all(points, min(self.longest, points.shape[1])):
+            at = self.tables[0][self._place(h, 0)]
+            missed = np.nonzero((self.hashes[at] != h) & (at != none))
+            rest = h[missed]
+            second = self.tables[1][self._place(rest, 1)]
+            at[missed] = np.where(self.hashes[second] == rest, second, none)
+            out.append(at)
+        return out
+
+
+def codes(strings: list[str], width: int) -> np.ndarray:
+    """Code points by row, padded with 0."""
+    return np.frombuffer("".join([s.ljust(width, "\0") for s in strings]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(strings), width)
+
+
 class PieceModel:
     """A vocabulary with the log-probability of each piece, from its rank: in proportion to 1 / (rank + 10).
 
@@ -61,87 +122,179 @@ class PieceModel:
                 if kind == "piece":
                     weights[i] = 1.0 / (len(weights) + 10)
         total = sum(weights.values())
-        self.table: dict[str, tuple[float, tuple[int, ...]] | None] = {}
-        for i, w in weights.items():
-            self.table[pieces[i]] = (math.log(w / total), (i,))
-        self.byte_score = min((x[0] for x in self.table.values() if x), default=0.0) - 1.0
-        joined = {c for p in self.table if len(p) > 1 for c in p} - {SPACE}
-        for piece in list(self.table):  # None: a piece's beginning that is no piece
+        #: The score of each piece, and -inf for a piece's beginning that is no piece.
+        self.scores: dict[str, float] = {pieces[i]: math.log(w / total) for i, w in weights.items()}
+        self.finder = _Finder(self.scores, weights)
+        self.ids: dict[str, int] = {pieces[i]: i for i in weights}
+        self.longest = max(map(len, self.scores), default=1)
+        self.byte_score = min(self.scores.values(), default=0.0) - 1.0
+        joined = {c for p in self.scores if len(p) > 1 for c in p} - {SPACE}
+        for piece in list(self.scores):
             for n in range(1, len(piece)):
-                self.table.setdefault(piece[:n], None)
+                self.scores.setdefault(piece[:n], -math.inf)
         # letters and others are cut apart if no piece holds both side by side
-        mixed = any(a.isalpha() != b.isalpha() and SPACE not in (a, b) for p in self.table for a, b in zip(p, p[1:], strict=False))
+        mixed = any(a.isalpha() != b.isalpha() and SPACE not in (a, b) for p in self.scores for a, b in zip(p, p[1:], strict=False))
         classes = [joined] if mixed else [{c for c in joined if c.isalpha()}, {c for c in joined if not c.isalpha()}]
         runs = ["".join(map(re.escape, sorted(c))) for c in classes if c]
         self.cut = re.compile("|".join([*[f"{SPACE}*[{r}]+" for r in runs], f"{SPACE}+", "."]), re.DOTALL).findall
+        self.openings: dict[str, tuple[list[tuple[int, float]], bool]] = {}
         self.memory: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
         self.close: dict[str, list[tuple[float, bytes]]] = {}
 
-    def lattice(self, chunk: str) -> tuple[list[float], list[list[tuple[int, tuple[float, tuple[int, ...]]]]]]:
-        """By place: the best score from the start (forward Viterbi), and the (start, (score, ids)) of the edges that end there."""
-        get, n = self.table.get, len(chunk)
-        into: list[list[tuple[int, tuple[float, tuple[int, ...]]]]] = [[] for _ in range(n + 1)]
-        forward = [-math.inf] * (n + 1)
-        forward[0] = 0.0
+    def spelt(self, c: str) -> bytes:
+        """The bytes that stand for a character which is no piece."""
+        return SPACE.encode() if c == LITERAL else c.encode("utf-8", "surrogatepass")
+
+    def forward(self, chunk: str) -> tuple[list[float], list[float], list[int]]:
+        """By place: the best score from the start, the best of those that come in by another last piece, and where the best one's last piece starts."""
+        get, known, n, low = self.scores.get, self.openings.get, len(chunk), -math.inf
+        best, other, back = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
         for start in range(n):
-            here, end = forward[start], start + 1
-            found = get(chunk[start:end], 0)
-            if not found:
-                c = chunk[start]
-                spelt = SPACE.encode() if c == LITERAL else c.encode("utf-8", "surrogatepass")
-                edge = (self.byte_score * len(spelt), tuple([self.byte_ids[b] for b in spelt]))
-                into[end].append((start, edge))
-                if here + edge[0] > forward[end]:
-                    forward[end] = here + edge[0]
-            while found != 0:
-                if found:
-                    into[end].append((start, found))
-                    if here + found[0] > forward[end]:
-                        forward[end] = here + found[0]
-                end += 1
-                if end > n:
-                    break
-                found = get(chunk[start:end], 0)
-        return forward, into
+            here = best[start]
+            short, more = known(chunk[start : start + OPENING]) or self.opening(chunk[start : start + OPENING])
+            for size, score in short:
+                value, end = here + score, start + size
+                if value > best[end]:
+                    other[end], best[end], back[end] = best[end], value, start
+                elif value > other[end]:
+                    other[end] = value
+            if more:
+                end = start + OPENING + 1
+                while end <= n and (score := get(chunk[start:end])) is not None:
+                    value = here + score
+                    if value > best[end]:
+                        other[end], best[end], back[end] = best[end], value, start
+                    elif value > other[end]:
+                        other[end] = value
+                    end += 1
+        return best, other, back
+
+    def opening(self, text: str) -> tuple[list[tuple[int, float]], bool]:
+        """(length, score) of the edges that leave the start of at most OPENING characters, and whether longer pieces may leave it."""
+        get, low = self.scores.get, -math.inf
+        short = [(n, score) for n in range(1, len(text) + 1) if (score := get(text[:n], low)) > low]
+        if get(text[0], low) == low:
+            short.append((1, self.byte_score * len(self.spelt(text[0]))))
+        if len(self.openings) >= REMEMBERED:
+            self.openings = {}
+        found = self.openings[text] = (short, len(text) == OPENING and text in self.scores)
+        return found
+
+    def piece(self, chunk: str, start: int, end: int) -> tuple[int, ...]:
+        """The ids of the lattice's edge between two places."""
+        own = self.ids.get(chunk[start:end])
+        return (own,) if own is not None else tuple([self.byte_ids[b] for b in self.spelt(chunk[start])])
+
+    def into(self, chunk: str, end: int) -> list[tuple[int, float]]:
+        """(start, score) of the edges that end at a place."""
+        get, low = self.scores.get, -math.inf
+        found = [(start, score) for start in range(end - 1, max(0, end - self.longest) - 1, -1) if (score := get(chunk[start:end], low)) > low]
+        if get(chunk[end - 1], low) == low:
+            found.append((end - 1, self.byte_score * len(self.spelt(chunk[end - 1]))))
+        return found
 
     def search(self, chunk: str, most: int) -> list[tuple[float, bytes]]:
-        """The `most` best segmentations of a chunk, best first; ids as 32-bit integers."""
-        forward, into = self.lattice(chunk)
-        # a hypothesis: how far it can get, the place it has come back to, the score of what follows, and its ids as a chain
-        n = len(chunk)
-        count = 0
-        heap: list[tuple[float, int, int, float, tuple | None]] = [(-forward[n], 0, n, 0.0, None)]
+        """The `most` best segmentations of a chunk, best first; ids as 32-bit integers.
+
+        A* backward from the end: a hypothesis has come back to a place, and the forward score of that
+        place is exactly what the rest will add.  So each hypothesis is sure to be completed for what it
+        promises, no two to the same segmentation, and only the `most` that promise best are kept.  Of
+        equal ones that which has come further goes first.
+        """
+        best, _, _ = self.forward(chunk)
+        # what it promises (negative), the place, an ordinal, the score of what follows, and its ids as a chain
+        n, count = len(chunk), 0
+        open_: list[tuple[float, int, int, float, tuple | None]] = [(-best[n], n, 0, 0.0, None)]
         found: list[tuple[float, bytes]] = []
-        while heap:
-            _, _, at, behind, chain = heappop(heap)
+        while open_:
+            _, at, _, behind, chain = open_.pop(0)
             if at == 0:
                 ids: list[int] = []
                 while chain:
                     ids += chain[0]
                     chain = chain[1]
                 found.append((behind, array("i", ids).tobytes()))
-                if len(found) == most:
-                    break
                 continue
-            for start, (score, ids) in into[at]:
+            for start, score in self.into(chunk, at):
                 count += 1
                 score += behind
-                heappush(heap, (-forward[start] - score, count, start, score, (ids, chain)))
+                insort(open_, (-best[start] - score, start, count, score, (self.piece(chunk, start, at), chain)))
+            del open_[most - len(found) :]
         return found
 
     def parts(self, chunk: str) -> tuple[bytes, float, float]:
-        """A chunk's best ids and score, and what its second segmentation loses."""
+        """A chunk's best ids and score, and what its second segmentation loses.
+
+        That is what the search's second result loses: the least that any place of the best path loses
+        by coming in through another piece.
+        """
         known = self.older.get(chunk)
         if known is None:
-            found = self.search(chunk, min(2, self.nbest))
-            known = (found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else math.inf)
+            best, other, back = self.forward(chunk)
+            at, ids, least, get = len(chunk), [], math.inf, self.ids.get
+            while at:
+                start, least = back[at], min(least, best[at] - other[at])
+                own = get(chunk[start:at])
+                ids += [own] if own is not None else self.piece(chunk, start, at)[::-1]
+                at = start
+            known = (array("i", ids[::-1]).tobytes(), best[-1], least)
         if len(self.memory) >= REMEMBERED:
             self.older, self.memory = self.memory, {}
         if len(chunk) <= 64:
             self.memory[chunk] = known
         return known
 
+    def learn(self, chunks: list[str]) -> None:
+        """Remembers the parts of many chunks at once, each of 2 to SHORT characters."""
+        finder, low = self.finder, -math.inf
+        chunks.sort(key=len)
+        for first in range(0, len(chunks), 8192):
+            own = chunks[first : first + 8192]
+            width, n = len(own[-1]), np.array([len(c) for c in own])
+            found = finder.find(codes(own, width))
+            best, other = np.full((2, len(own), width + 1), low)
+            back = np.zeros((len(own), width + 1), np.int64)
+            best[:, 0] = 0.0
+            for end in range(1, width + 1):
+                top, next_, size = best[:, end], other[:, end], back[:, end]
+                for k in range(min(len(found), end), 0, -1):
+                    value = best[:, end - k] + finder.scores[found[k - 1][:, end - k]]
+                    more = value > top
+                    np.copyto(next_, np.where(more, top, np.maximum(next_, value)))
+                    np.copyto(top, np.maximum(top, value))
+                    size[more] = k
+            row = np.arange(len(own))
+            least, at, ids = np.full(len(own), math.inf), n.copy(), []
+            table = np.stack([np.pad(f, ((0, 0), (0, width - f.shape[1])), constant_values=len(finder.ids) - 1) for f in found])
+            while (at > 0).any():
+                size = back[row, at]
+                with np.errstate(invalid="ignore"):
+                    least = np.where(at > 0, np.fmin(least, best[row, at] - other[row, at]), least)
+                ids.append(np.where(at > 0, finder.ids[table[np.maximum(size - 1, 0), row, at - size]], -1))
+                at = np.where(size > 0, at - size, 0)
+            paths = np.stack(ids[::-1], axis=1)
+            stops = np.cumsum((paths >= 0).sum(axis=1)) * 4
+            raw = paths[paths >= 0].astype(np.int32).tobytes()
+            score = best[row, n]
+            start = 0
+            for chunk, stop, value, loss in zip(own, stops.tolist(), score.tolist(), least.tolist(), strict=True):
+                if value > low:  # else a character of it is no piece
+                    self.memory[chunk] = (raw[start:stop], value, loss)
+                start = stop
+
+    def cut_all(self, texts: list[str | None]) -> list[list[str]]:
+        """The chunks of each text, none for null and empty ones; short ones that are new are searched together."""
+        cuts = [self.cut(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
+        new = set(chained.from_iterable(cuts)) - self.memory.keys()
+        if len(self.memory) + len(new) > REMEMBERED:
+            self.older, self.memory = self.memory, {}
+        old = new & self.older.keys()
+        self.memory.update({c: self.older[c] for c in old})
+        self.learn([c for c in new - old if 1 < len(c) <= SHORT])
+        return cuts
+
     def all_parts(self, chunk: str) -> list[tuple[float, bytes]]:
         """A chunk's nbest segmentations."""
         known = self.close.get(chunk)
@@ -164,26 +317,27 @@ class PieceModel:
             choices.append((sum([options[i][0][0] - options[i][p][0] for i, p in picks]), picks))
         return sorted(choices)[: self.nbest]
 
-    def encode(self, text: str | None) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
+    def encode(self, text: str | None, chunks: list[str] | None = None) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
         """(32-bit ids of the best segmentation, the nbest): each with its score and where it differs, as (place, ids dropped, ids put).
 
-        Null and empty texts have no ids and one segmentation of score 0.
+        Null and empty texts have no ids and one segmentation of score 0.  chunks: those of the text, where they are known.
         """
         if not text:
             return b"", [(0.0, [])]
         get, parts = self.memory.get, self.parts
-        chunks = self.cut(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE))
+        chunks = chunks or self.cut_all([text])[0]
         options = [get(c) or parts(c) for c in chunks]
         base = math.fsum([o[1] for o in options])
         losses = [o[2] for o in options]
         near = sorted([i for i in nsmallest(self.nbest - 1, range(len(losses)), key=losses.__getitem__) if losses[i] < math.inf])
+        wide = [self.all_parts(chunks[i]) for i in near]
         starts, seen, size = [], 0, 0
-        for i in near:
+        for i, own in zip(near, wide, strict=True):
+            options[i] = (own[0][1],)  # of equal segmentations the search may have found another
             size += sum([len(o[0]) for o in options[seen:i]])
             seen = i
             starts.append(size // 4)
         best = []
-        wide = [self.all_parts(chunks[i]) for i in near]
         for loss, picks in self.combined(wide):
             best.append((base - loss, [(starts[j], len(wide[j][0][1]) // 4, array("i", wide[j][p][1]).tolist()) for j, p in picks]))
         return b"".join([o[0] for o in options]), best
@@ -211,14 +365,28 @@ def load(path: str | None = None, nbest: int = 4) -> PieceModel:
 ENCODED = "ids array<int>, nbest array<struct<score:double,edits:array<struct<at:int,drop:int,put:array<int>>>>>"
 
 
-def encode_pieces(docs: DataFrame, path: str | None = None, nbest: int = 4) -> DataFrame:
+def _portions(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of 256 rows, or fewer if column `at` has more than TOGETHER characters or so in them."""
+    for batch in batches:
+        start, size = 0, 0
+        for i, n in enumerate(pa.compute.binary_length(batch.column(at)).to_pylist()):
+            if i > start and (size + (n or 0) > TOGETHER or i - start == 256):
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n or 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def encode_pieces(docs: DataFrame, path: str | None = None, nbest: int = 4, into: str | None = None) -> DataFrame:
     """docs with ids (the best segmentation) and nbest (scores, and each one's edits of ids), best first.
 
-    Null and empty texts have no ids and a single segmentation of score 0.  Columns of docs with these
-    names are replaced; the rest pass through.
+    With `into`, also the text that the ids decode to, in the same pass.  Null and empty texts have no
+    ids and a single segmentation of score 0.  Columns of docs with these names are replaced; the rest
+    pass through.
     """
     ship(docs.sparkSession)
-    fields = T._parse_datatype_string(ENCODED)
+    fields = T._parse_datatype_string(ENCODED + (f", {into} string" if into else ""))
     docs = docs.drop(*fields.names)
     at, names = docs.columns.index("text"), [*docs.columns, *fields.names]
     edits = pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("put", pa.list_(pa.int32()))]))
@@ -226,15 +394,15 @@ def encode_pieces(docs: DataFrame, path: str | None = None, nbest: int = 4) -> D
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path, nbest)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                made = [model.encode(t) for t in batch.column(at).to_pylist()]
-                flat = np.frombuffer(b"".join([m[0] for m in made]), np.int32)
-                offsets = np.concatenate(([0], np.cumsum([len(m[0]) // 4 for m in made]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-                best = pa.array([[{"score": s, "edits": [{"at": a, "drop": d, "put": p} for a, d, p in e]} for s, e in m[1]] for m in made], kind)
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, best], names)
+        for batch in _portions(batches, at):
+            texts = batch.column(at).to_pylist()
+            made = [model.encode(t, c) for t, c in zip(texts, model.cut_all(texts), strict=True)]
+            flat = np.frombuffer(b"".join([m[0] for m in made]), np.int32)
+            offsets = np.concatenate(([0], np.cumsum([len(m[0]) // 4 for m in made]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+            best = pa.array([[{"score": s, "edits": [{"at": a, "drop": d, "put": p} for a, d, p in e]} for s, e in m[1]] for m in made], kind)
+            back = [pa.array([model.decode(array("i", m[0])) for m in made], pa.string())] if into else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, best, *back], names)
 
     return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, *fields.fields]))
 

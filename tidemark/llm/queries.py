@@ -13,7 +13,7 @@ from .jaccard_join import near_duplicates
 from .language_id import identify, train
 from .license_scan import scan_licenses
 from .line_dedup import drop_common_lines
-from .pieces import decode_pieces, encode_pieces
+from .pieces import encode_pieces
 from .secret_scan import BASE, BlobLedger, spans_text
 from .token_counts import TokenLedger
 
@@ -114,7 +114,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decode_pieces(encode_pieces(documents(spark, sf_dir).select("doc_id", "text")))
+    out = encode_pieces(documents(spark, sf_dir).select("doc_id", "text"), into="decoded")
     scores = F.transform("nbest", lambda x: x["score"])
     exact = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.xxhash64("ids").alias("ids_hash"), scores.alias("scores"), "nbest", exact.alias("round_trip"))
