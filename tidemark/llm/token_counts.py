@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -63,8 +64,8 @@ class TokenLedger:
     """Totals of documents, tokens and characters by (source, lang, tokenizer), kept under `path` in shared storage.
 
     Repeated rows are a multiset: a document inserted twice counts twice, and deleting or revising a
-    doc_id takes back everything that stands under it.  Deleting an unknown doc_id changes nothing.
-    Null doc_ids are inserted and never match a delete.
+    doc_id takes back everything that stands under it; a doc_id both deleted and revised stands revised.
+    Deleting an unknown doc_id changes nothing.  Null doc_ids are inserted and never match a delete.
     """
 
     KEYS = ("source", "lang", "tokenizer")
@@ -76,13 +77,40 @@ class TokenLedger:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    def _batches(self, what: str) -> DataFrame | None:
-        """The rows of committed batches."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/committed")
+    def _names(self, what: str) -> list[str]:
+        """The folders under `what` that have been written whole."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
         fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = sorted(str(s.getPath().getName()) for s in fs.listStatus(at)) if fs.exists(at) else []
-        names = [n for n in names if self._there(f"committed/{n}/_SUCCESS")]
-        return self.spark.read.parquet(*[f"{self.path}/{what}/{n}" for n in names]) if names else None
+        return [n for n in names if self._there(f"{what}/{n}/_SUCCESS")]
+
+    def _covered(self) -> tuple[str | None, set[str]]:
+        """The base that covers most batches, and those batches."""
+        base = max(self._names("bases"), default=None)
+        return base, {r[0] for r in self.spark.read.parquet(f"{self.path}/bases/{base}").collect()} if base else set()
+
+    def _batches(self, what: str) -> DataFrame | None:
+        """The rows of committed batches: of the base, and of those that it does not cover."""
+        base, covered = self._covered()
+        folders = [f"{self.path}/{what}/{n}" for n in self._names("committed") if n not in covered] + ([f"{self.path}/{what}-{base}"] if base else [])
+        return self.spark.read.parquet(*folders) if folders else None
+
+    def compact(self) -> None:
+        """Folds all committed batches into one base, so that reads no longer open every batch; their ids stay committed.
+
+        The base is in force when its list of batches is written, last.  Batches committed meanwhile are
+        not covered by it.
+        """
+        names = self._names("committed")
+        if not names or set(names) <= self._covered()[1]:
+            return
+        base = f"{len(names):012d}-{uuid.uuid4().hex}"
+        live = self.live()
+        live.withColumnRenamed("n", "sign").write.parquet(f"{self.path}/deltas-{base}")
+        self.totals().coalesce(1).write.parquet(f"{self.path}/totals-{base}")
+        if names != self._names("committed"):  # a batch came in between: what was written may hold it or not
+            return
+        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.parquet(f"{self.path}/bases/{base}")
 
     def live(self) -> DataFrame | None:
         """The counted rows of documents that stand, each with its multiplicity n."""
