@@ -10,6 +10,9 @@ of sub-lexicons that agree at the levels that two texts have in common.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -89,27 +92,48 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(F.abs(apart) > 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(same.cast("double"), told.cast("double")), F.lit(0.0)))
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 2000, max_buckets: int = 16384) -> DataFrame:
+def _ranges(docs: DataFrame, rows_per_bucket: int, max_buckets: int) -> tuple[Column, Column]:
+    """(bucket, whether the doc_id heads its bucket): descending ranges of doc_id of about equal numbers of rows, nulls in the last.
+
+    Bounds are quantiles of a sample by hash, some 32 doc_ids to a bucket; they are found in two steps
+    through their square root, so a row costs little however many there are.
+    """
+    buckets = max(1, min(max_buckets, -(-docs.count() // rows_per_bucket)))
+    bounds: list = []
+    if buckets > 1:
+        share = int((1 << 30) * min(1.0, 32 * buckets / (buckets * rows_per_bucket)))
+        sample = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.lit("ranges"), "doc_id"), F.lit(1 << 30)) < share)).select("doc_id").distinct()
+        ids = sorted((r[0] for r in sample.collect()), reverse=True)
+        # the greatest doc_id of a bucket is its bound; the first bucket needs none
+        bounds = [ids[i] for i in sorted({len(ids) * k // buckets for k in range(1, buckets)} - {0})] if ids else []
+    if not bounds:
+        return F.lit(0), F.lit(False)
+    size = math.isqrt(len(bounds)) + 1
+    parts = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    kind = dict(docs.dtypes)["doc_id"]
+    table = lambda x, t: F.from_json(F.lit(json.dumps(x)), F.lit(t))  # noqa: E731  a constant
+    rows, lasts = table(parts, f"array<array<{kind}>>"), table([p[-1] for p in parts], f"array<{kind}>")
+    reached = lambda edges: F.size(F.filter(edges, lambda b: F.col("doc_id") <= b))
+    part = reached(lasts)
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).when(part == len(parts), F.lit(len(bounds))).otherwise(part * size + reached(F.get(rows, part)))
+    before = bucket - 1
+    heads = (bucket > 0) & (F.get(F.get(rows, F.floor(before / size).cast("int")), before % size) == F.col("doc_id"))
+    return bucket, F.coalesce(heads, F.lit(False))
+
+
+def with_next(docs: DataFrame, rows_per_bucket: int = 2000, max_buckets: int = 1 << 17) -> DataFrame:
     """docs (doc_id, text) with a unique _rid, and _next_rid and _next_text of the row that follows.
 
     Order: doc_id descending (nulls last), then the text's SHA-256; after the last comes the first.
-    Rows are dealt into ranges of doc_id between quantiles, each range is ordered by itself, and the
-    first row of every range is sent to the range before it as well; no task sees all rows.
+    Rows are dealt into ranges of doc_id, each range is ordered by itself, and the rows at the head of
+    every range are sent to the range before it as well; no task sees all rows.
     """
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).first()
-    buckets = max(1, min(max_buckets, -(-stats["n"] // rows_per_bucket)))
-    bounds: list[int] = []
-    if buckets > 1 and stats["top"] is not None:
-        shares = [i / buckets for i in range(1, buckets)]
-        bounds = sorted({int(b) for b in docs.agg(F.percentile_approx("doc_id", shares, 10 * buckets)).first()[0]} - {stats["top"]}, reverse=True)
-    # bucket b: bounds[b - 1] >= doc_id > bounds[b]; every bound is a doc_id that heads a bucket
-    edges = F.array(*[F.lit(b) for b in reversed(bounds)]) if bounds else None
-    bucket = F.lit(0) if edges is None else F.coalesce(F.size(F.filter(edges, lambda b: F.col("doc_id") <= b)), F.lit(len(bounds)))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "text", F.sha2(text, 256).alias("_sha"), bucket.alias("_b"))
-    heads = F.col("doc_id").isin(bounds) if bounds else F.lit(False)
-    first = F.col("doc_id").eqNullSafe(F.lit(stats["top"]))
-    last = len(bounds)
+    rows = docs.select("doc_id", "text")
+    bucket, heads = _ranges(rows, rows_per_bucket, max_buckets)
+    top = rows.agg(F.max("doc_id")).first()[0]
+    rows = rows.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"), bucket.alias("_b"), heads.alias("_head"))
+    first, heads = F.col("doc_id").eqNullSafe(F.lit(top)), F.col("_head")
+    last = rows.agg(F.max("_b")).first()[0] or 0
     copies = F.array_compact(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest")), F.when(heads & (F.col("_b") > 0), F.struct((F.col("_b") - 1).alias("b"), F.lit(1).alias("guest"))), F.when(first, F.struct(F.lit(last).alias("b"), F.lit(2).alias("guest")))))
     rows = rows.select("doc_id", "text", "_sha", F.explode(copies).alias("_c")).select("doc_id", "text", "_sha", F.col("_c.b").alias("_b"), F.col("_c.guest").alias("_guest"))
     order = W.partitionBy("_b").orderBy("_guest", F.col("doc_id").desc_nulls_last(), "_sha")
