@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import json
 import re
 from functools import partial
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +19,10 @@ STOPWORDS = """
 a about after again against all also an and any are as at be because been before being between both but by can could did
 do does during for from had has have he her here hers him his how i if in into is it its just may more most new no not
 now of on one or other our out over said says she should so some such than that the their them then there they this those
-to under up was we were what when where which while who will with would you your
+to under up was we were what when which while who will with would you
 """.split()
 
+#: Where paragraphs and sentences end, and how a sentence takes up a company named before.
 PARAGRAPHS = r"(?U)(?:\r?\n\s*)+|§+"
 SENTENCES = "(?U)(?<=[.!?])\\s+|(?<=[.!?][\"'”’])\\s+"
 ANAPHORA = r"(?iU)^\W*(?:it|its|they|their|the company|the firm|the group|the business|the chipmaker|the manufacturer|the developer|this company|this firm)\b"
@@ -46,12 +50,37 @@ def array_hits(text: Column, terms: Column) -> Column:
     return F.filter(terms, lambda t: F.regexp_like(text, F.concat(F.lit("(?iU)(?<!\\w)\\Q"), t, F.lit("\\E(?!\\w)"))))
 
 
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
+
+
+def unescape(c: Column) -> Column:
+    """The text with character references decoded: every name of HTML 5, decimal and hexadecimal ones; unknown names stay.
+
+    Numbers that are no character give U+FFFD; those of the old Windows code page give its characters.
+    """
+    table = lambda d, kind: F.from_json(F.lit(json.dumps(d)), F.lit(kind))  # noqa: E731  a constant
+    names = table(dict(html5), "map<string,string>")
+    odd = table({str(i): html.unescape(f"&#{i};") for i in [0, 13, *range(128, 160)]}, "map<string,string>")
+
+    def value(e: Column) -> Column:
+        hexa = F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+)", 1)
+        code = F.when(hexa != "", F.conv(hexa, 16, 10)).otherwise(F.regexp_extract(e, "^&#([0-9]+)", 1)).try_cast("int")
+        wrong = (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        number = F.when(wrong, "\ufffd").otherwise(F.coalesce(F.try_element_at(odd, code.cast("string")), letter))
+        return F.coalesce(number, F.try_element_at(names, F.substring(e, 2, 40)), e)
+
+    values = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), value)
+
+    def woven(own: Column) -> Column:
+        return F.array_join(F.transform(F.split(c, ENTITY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(own, i), F.lit("")))), "")
+
+    return F.when(F.contains(c, F.lit("&")), F.get(F.transform(F.array(values), woven), 0)).otherwise(c)
+
+
 def strip_html(c: Column) -> Column:
-    """Text outside tags, common entities decoded, white space collapsed; script and style text stays."""
-    text = F.regexp_replace(c, r"(?s)<!--.*?-->|<[^>]*>", " ")
-    for entity, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(value))
-    return clean(text)
+    """Text outside tags, character references decoded, white space collapsed; script and style text stays."""
+    return clean(unescape(F.regexp_replace(c, r"(?s)<!--.*?-->|<[^>]*>", " ")))
 
 
 def redact(text: Column, secrets: list[str]) -> Column:
@@ -124,9 +153,7 @@ def evidence_units(rows: DataFrame, key: str, most_sentences: int = 2, most_char
 
 def similarity_text(c: Column) -> Column:
     """Lower case, plain quotes and dashes, no links, only letters, digits, dollar, percent and apostrophe."""
-    text = F.coalesce(c, F.lit(""))
-    for entity, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(value))
+    text = unescape(F.coalesce(c, F.lit("")))
     text = F.lower(F.translate(text, "’‘“”–—", "''\"\"--"))
     text = F.regexp_replace(text, r"https?://\S+", " ")
     return F.trim(F.regexp_replace(text, r"[^a-z0-9$%']+", " "))
@@ -181,3 +208,58 @@ def search_score(query: str, key: Column, text: Column) -> Column:
     words = [w for w in re.split(r"\W+", q) if len(w) >= 3]
     hits = sum([F.contains(low, F.lit(w)).cast("int") for w in words], F.lit(0))
     return F.when(F.lower(key.cast("string")) == q, 1000).when(F.contains(low, F.lit(q)), 100).otherwise(hits)
+
+
+def search_text(title: Column, headline: Column, trail: Column, body: Column) -> Column:
+    """What an article is searched by: its filled parts, line by line; the trail without markup."""
+    parts = [F.coalesce(x, F.lit("")) for x in (title, headline, strip_html(F.coalesce(trail, F.lit(""))), body)]
+    return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "\n")
+
+
+def event_prompt(title: Column, span: Column, most: int = 1800) -> Column:
+    """What a model is asked about an event: its title and span, clipped."""
+    return F.substring(F.concat(F.lit("Evidence-grounded title: "), clean(title), F.lit("\nEvidence span: "), clean(span)), 1, most)
+
+
+def relation_prompt(company: Column, sentence: Column) -> Column:
+    """What a model is asked about a company and a sentence."""
+    return F.concat(F.lit("Company under assessment: "), clean(company), F.lit(".\nSentence: "), sentence)
+
+
+def unique_texts(values: Column, most: int, characters: int) -> Column:
+    """The first `most` distinct texts of an array, cleaned and clipped; those that differ in case only are one, blank ones none."""
+    own = F.filter(F.transform(values, lambda v: F.substring(clean(v), 1, characters)), lambda v: v != "")
+
+    def first(x: Column) -> Column:
+        low = F.transform(x, lambda v: F.lower(v))
+        return F.slice(F.filter(x, lambda v, i: F.array_position(low, F.lower(v)) == i + 1), 1, most)
+
+    return F.get(F.transform(F.array(own), first), 0)
+
+
+def simple_sentences(text: Column) -> Column:
+    """Cleaned parts between sentence ends or line breaks, blank ones left out."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)(?<=[.!?])\s+|\n+"), clean), lambda s: s != "")
+
+
+def alias_dimension(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """(company_id, position, alias, kind, strict_case) of every name that a company is matched by.
+
+    names has company_id, aliases; rules has company_id and the arrays excluded, products, additional and
+    strict.  Names that differ in case only are one, the first spelling; excluded ones go; those among
+    products are of kind product, the rest core.
+    """
+    rows = names.join(rules, "company_id", "left")
+    folded = lambda c: F.transform(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != ""), lambda x: F.lower(F.trim(x)))
+    added = F.filter(F.transform(F.coalesce("additional", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    rows = rows.select("company_id", F.concat("aliases", added).alias("_all"), folded(F.col("excluded")).alias("_out"), folded(F.col("products")).alias("_products"), folded(F.col("strict")).alias("_strict"))
+    rows = rows.select("*", F.posexplode("_all").alias("position", "alias")).withColumn("_key", F.lower("alias"))
+    first = F.array_position(F.transform("_all", lambda x: F.lower(x)), F.col("_key")) == F.col("position") + 1
+    rows = rows.where(first & ~F.array_contains("_out", F.col("_key")))
+    return rows.select("company_id", "position", "alias", F.when(F.array_contains("_products", F.col("_key")), "product").otherwise("core").alias("kind"), F.array_contains("_strict", F.col("_key")).alias("strict_case"))
+
+
+def union_ids(queried: Column, matched: Column) -> Column:
+    """The distinct ids of both arrays, sorted."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(queried, none), F.coalesce(matched, none)))

@@ -42,7 +42,7 @@ def link_status(g: Graph) -> DataFrame:
     return g.table("documents").select("doc_id", S.link_status(has("license"), has("MIT"), F.col("source") == "src1").alias("status"))
 
 
-@query("html_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS page_text FROM pages""")
+@query("html_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS page_text FROM pages""")
 def html_text(g: Graph) -> DataFrame:
     return g.table("pages").select("page_id", X.strip_html(F.col("html")).alias("page_text"))
 
