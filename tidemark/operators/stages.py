@@ -30,25 +30,28 @@ def stage_pivot(stages: dict[str, DataFrame], dim: DataFrame, key: str) -> DataF
 
 
 def sensitivity(links: DataFrame, companies: DataFrame, grid: list[tuple[float, float]], current: tuple[float, float], accept) -> DataFrame:
-    """For each cell of a threshold grid: events, pairs, covered and uncovered companies, counts by company, pairs gained and lost against the current cell.
+    """For each cell of a threshold grid (62 at most): events, pairs, covered and uncovered companies, counts by company, pairs gained and lost against the current cell.
 
-    accept(links, x, y) is the gate as a column.  Links are read once for all cells: the grid is a small
-    dimension, and each link meets its cells only where it is accepted.
+    accept(links, x, y) is the gate as a column.  Links are read once: each becomes the set of cells that
+    accept it, as bits, and sets are united by pair and by event before any cell is counted.
     """
-    cells = F.explode(F.array_compact(F.array(*[F.when(accept(links, x, y), F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))) for x, y in grid])))
+    if len(grid) > 62:
+        raise ValueError("a grid has 62 cells at most")
+    bits = sum((F.when(accept(links, x, y), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (x, y) in enumerate(grid)), F.lit(0).cast("long"))
     # a pair stands in the current cell if any of its links does
-    links = links.withColumn("_now", F.max(accept(links, *current)).over(W.partitionBy("event_id", "company_id")))
-    now = F.col("_now")
-    kept = links.select("event_id", "company_id", now.alias("now"), cells.alias("cell")).select("event_id", "company_id", "now", "cell.x", "cell.y")
-    pairs = kept.groupBy("x", "y", "event_id", "company_id").agg(F.max("now").alias("now"))
-    per = pairs.groupBy("x", "y", "company_id").agg(F.countDistinct("event_id").alias("n"))
+    united = links.select("event_id", "company_id", bits.alias("bits"), F.coalesce(accept(links, *current), F.lit(False)).alias("now"))
+    united = united.groupBy("event_id", "company_id").agg(F.bit_or("bits").alias("bits"), F.bool_or("now").alias("now"))
+    cells = lambda b: F.explode(F.array_compact(F.array(*[F.when(F.getbit(b, F.lit(i)) == 1, F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))) for i, (x, y) in enumerate(grid)])))
+    pairs = united.where("bits <> 0").select("company_id", "now", cells(F.col("bits")).alias("cell")).select("company_id", "now", "cell.x", "cell.y")
+    per = pairs.groupBy("x", "y", "company_id").agg(F.count(F.lit(1)).alias("n"))
+    events = united.groupBy("event_id").agg(F.bit_or("bits").alias("bits")).where("bits <> 0").select(cells(F.col("bits")).alias("cell")).groupBy("cell.x", "cell.y").agg(F.count(F.lit(1)).alias("events"))
     spark = links.sparkSession
     every = spark.createDataFrame(grid, "x double, y double")
     full = every.join(companies.select("company_id").distinct()).join(per, ["x", "y", "company_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     spread = full.groupBy("x", "y").agg(F.sum((F.col("n") > 0).cast("long")).alias("covered"), F.sum((F.col("n") == 0).cast("long")).alias("uncovered"), F.min("n").alias("least"), F.percentile("n", 0.5).alias("median"), F.max("n").alias("most"))
-    whole = pairs.groupBy("x", "y").agg(F.countDistinct("event_id").alias("events"), F.count(F.lit(1)).alias("pairs"), F.sum((~F.col("now")).cast("long")).alias("added"), F.sum(F.col("now").cast("long")).alias("_same"))
-    total = links.where(now).select("event_id", "company_id").distinct().agg(F.count(F.lit(1)).alias("_now"))
-    out = spread.join(whole, ["x", "y"], "left").join(total)
+    whole = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("pairs"), F.sum((~F.col("now")).cast("long")).alias("added"), F.sum(F.col("now").cast("long")).alias("_same"))
+    total = united.agg(F.count(F.when(F.col("now"), 1)).alias("_now"))
+    out = spread.join(whole, ["x", "y"], "left").join(events, ["x", "y"], "left").join(total)
     zero = lambda c: F.coalesce(c, F.lit(0))
     removed = F.col("_now") - zero(F.col("_same"))
     return out.select("x", "y", zero(F.col("events")).alias("events"), zero(F.col("pairs")).alias("pairs"), "covered", "uncovered", "least", "median", "most", zero(F.col("added")).alias("added"), removed.alias("removed"), ((zero(F.col("added")) == 0) & (removed == 0)).alias("same_as_current"))

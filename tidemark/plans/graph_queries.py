@@ -214,10 +214,10 @@ def coevent_edges(g: Graph) -> DataFrame:
     return _pairs(g)
 
 
-@query("coevent_projection", f"WITH {PAIRS}, ways AS (SELECT a, b, weight FROM pairs WHERE weight >= 30 UNION ALL SELECT b, a, weight FROM pairs WHERE weight >= 30) SELECT company_id AS node, b AS neighbour, weight FROM companies LEFT JOIN ways ON a = company_id")
+@query("coevent_projection", f"WITH {PAIRS}, ways AS (SELECT a, b, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs) SELECT company_id AS node, b AS neighbour, weight FROM companies LEFT JOIN ways ON a = company_id")
 def coevent_projection(g: Graph) -> DataFrame:
     """Both directions of the edges, companies without any kept."""
-    ways = G.both_ways(_pairs(g).where("weight >= 30"))
+    ways = G.both_ways(_pairs(g))
     return _nodes(g).join(ways, F.col("node") == F.col("a"), "left").select("node", F.col("b").alias("neighbour"), "weight")
 
 
@@ -227,9 +227,9 @@ def event_company_distribution(g: Graph) -> DataFrame:
     return per.groupBy("company_count").agg(F.count(F.lit(1)).alias("event_count"))
 
 
-@query("structural_metrics", f"WITH {PAIRS}, ways AS (SELECT a, b, weight FROM pairs WHERE weight >= 35 UNION ALL SELECT b, a, weight FROM pairs WHERE weight >= 35) SELECT company_id AS node, count(DISTINCT b) AS degree, coalesce(sum(weight), 0)::DOUBLE AS strength, count(b) = 0 AS isolate FROM companies LEFT JOIN ways ON a = company_id GROUP BY company_id")
+@query("structural_metrics", f"WITH {PAIRS}, ways AS (SELECT a, b, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs) SELECT company_id AS node, count(DISTINCT b) AS degree, coalesce(sum(weight), 0)::DOUBLE AS strength, count(b) = 0 AS isolate FROM companies LEFT JOIN ways ON a = company_id GROUP BY company_id")
 def structural_metrics(g: Graph) -> DataFrame:
-    return G.structure(_nodes(g), _pairs(g).where("weight >= 35"))
+    return G.structure(_nodes(g), _pairs(g))
 
 
 @query("jaccard_similarity", f"""WITH {PAIRS}, size AS (SELECT company_id, count(DISTINCT event_id) AS n FROM affects GROUP BY company_id), scored AS (SELECT a, b, weight / (x.n + y.n - weight)::DOUBLE AS s FROM pairs JOIN size x ON x.company_id = a JOIN size y ON y.company_id = b),
@@ -240,20 +240,26 @@ def jaccard_similarity(g: Graph) -> DataFrame:
     return G.similarity(g.affects, "event_id", "company_id", top_k=24).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-@query("weakly_connected", f"""WITH RECURSIVE {PAIRS}, ways AS (SELECT a, b FROM pairs WHERE weight >= 35 UNION SELECT b, a FROM pairs WHERE weight >= 35), reach AS (SELECT company_id AS node, company_id AS root FROM companies UNION SELECT w.b, r.root FROM reach r JOIN ways w ON w.a = r.node)
+@query("weakly_connected", f"""WITH RECURSIVE {PAIRS}, ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT company_id AS node, company_id AS root FROM companies UNION SELECT w.b, r.root FROM reach r JOIN ways w ON w.a = r.node)
 SELECT node, min(root) AS component FROM reach GROUP BY node""")
 def weakly_connected(g: Graph) -> DataFrame:
-    return G.components(_nodes(g), _pairs(g).where("weight >= 35"))
+    return G.components(_nodes(g), _pairs(g))
 
 
-@query("component_membership")
+REACH = "ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT company_id AS node, company_id AS root FROM companies UNION SELECT w.b, r.root FROM reach r JOIN ways w ON w.a = r.node)"
+
+
+@query("component_membership", f"""WITH RECURSIVE {PAIRS}, {REACH}, comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node), sized AS (SELECT component, count(*) AS size, min(node) AS first FROM comp GROUP BY component),
+named AS (SELECT component, size, concat('C', CASE WHEN k < 10 THEN '0' ELSE '' END, k) AS label FROM (SELECT *, row_number() OVER (ORDER BY size DESC, first) AS k FROM sized) z) SELECT label, size, string_agg(company, ' | ' ORDER BY node) AS members FROM comp JOIN named USING (component) JOIN companies ON company_id = node GROUP BY label, size""")
 def component_membership(g: Graph) -> DataFrame:
     """Components named by size, with their members."""
-    groups = G.relabel(G.components(_nodes(g), _pairs(g).where("weight >= 35")), "C")
+    groups = G.relabel(G.components(_nodes(g), _pairs(g)), "C")
     return G.membership(groups, g.companies.select(F.col("company_id").alias("node"), F.col("company").alias("name")))
 
 
-@query("graph_threshold_study")
+@query("graph_threshold_study", f"""WITH RECURSIVE {PAIRS}, t AS (SELECT unnest([20, 25, 30, 35]) AS threshold), ways AS (SELECT threshold, a, b FROM pairs JOIN t ON weight >= threshold UNION SELECT threshold, b, a FROM pairs JOIN t ON weight >= threshold), reach AS (SELECT threshold, company_id AS node, company_id AS root FROM companies, t UNION SELECT r.threshold, w.b, r.root FROM reach r JOIN ways w ON w.threshold = r.threshold AND w.a = r.node),
+comp AS (SELECT threshold, node, min(root) AS c FROM reach GROUP BY ALL), sizes AS (SELECT threshold, c, count(*) AS size FROM comp GROUP BY ALL), s AS (SELECT threshold, count(*) AS n_components, max(size) AS largest, sum((size = 1)::INT)::BIGINT AS isolates, sum(size)::DOUBLE AS n FROM sizes GROUP BY threshold), e AS (SELECT t.threshold, count(p.a) AS n_edges FROM t LEFT JOIN pairs p ON weight >= threshold GROUP BY t.threshold)
+SELECT s.threshold, n_edges, round(n_edges / (n * (n - 1) / 2), 6) AS density, n_components, largest, isolates FROM s JOIN e ON e.threshold = s.threshold""")
 def graph_threshold_study(g: Graph) -> DataFrame:
     return G.threshold_study(_nodes(g), G.cut(_pairs(g)), [20, 25, 30, 35])
 
@@ -261,20 +267,20 @@ def graph_threshold_study(g: Graph) -> DataFrame:
 def _pagerank_sql(rounds: int) -> str:
     steps = ["r0 AS (SELECT company_id AS node, 0.15::DOUBLE AS score FROM companies)"]
     for i in range(rounds):
-        steps.append(f"r{i + 1} AS (SELECT c.company_id AS node, 0.15 + 0.85 * coalesce(sum(share * score), 0) AS score FROM companies c LEFT JOIN (SELECT b, share, score FROM moves JOIN r{i} ON r{i}.node = a) m ON m.b = c.company_id GROUP BY c.company_id)")
-    return f"WITH {PAIRS}, ways AS (SELECT a, b, weight FROM pairs WHERE weight >= 30 UNION ALL SELECT b, a, weight FROM pairs WHERE weight >= 30), moves AS MATERIALIZED (SELECT a, b, weight / (sum(weight) OVER (PARTITION BY a))::DOUBLE AS share FROM ways), " + ", ".join(steps) + f" SELECT node, round(score, 6) AS score FROM r{rounds}"
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT c.company_id AS node, 0.15 + 0.85 * coalesce(sum(share * score), 0) AS score FROM companies c LEFT JOIN (SELECT b, share, score FROM moves JOIN r{i} ON r{i}.node = a) m ON m.b = c.company_id GROUP BY c.company_id)")
+    return f"WITH {PAIRS}, ways AS (SELECT a, b, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs), moves AS MATERIALIZED (SELECT a, b, weight / (sum(weight) OVER (PARTITION BY a))::DOUBLE AS share FROM ways), " + ", ".join(steps) + f" SELECT node, round(score, 6) AS score FROM r{rounds}"
 
 
-@query("pagerank", _pagerank_sql(8))
+@query("pagerank", _pagerank_sql(20))
 def pagerank(g: Graph) -> DataFrame:
-    """Eight weighted rounds without an early stop."""
-    return G.pagerank(_nodes(g), _pairs(g).where("weight >= 30"), rounds=8, tolerance=None).select("node", F.round("score", 6).alias("score"))
+    """Twenty weighted rounds without an early stop."""
+    return G.pagerank(_nodes(g), _pairs(g), rounds=20, tolerance=None).select("node", F.round("score", 6).alias("score"))
 
 
 @query("louvain_communities")
 def louvain_communities(g: Graph) -> DataFrame:
     """Weighted communities, and whether the unweighted run puts each company into the same set."""
-    nodes, edges = _nodes(g), G.cut(_pairs(g).where("weight >= 30"))
+    nodes, edges = _nodes(g), G.cut(_pairs(g))
     heavy = G.cut(G.louvain(nodes, edges))
     changed = G.changed_communities(heavy, G.louvain(nodes, edges, weighted=False))
     return heavy.join(changed, "node")

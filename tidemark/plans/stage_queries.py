@@ -11,6 +11,7 @@ from ..operators import dedup as D
 from ..operators import market as M
 from ..operators import scoring as S
 from ..operators import stages as T
+from ..operators.canonical import relationship_gate
 from .catalog import query
 from .proxy import Graph
 
@@ -60,18 +61,23 @@ GRID = [(c, r) for c in (0.2, 0.35, 0.5, 0.65) for r in (0.5, 0.65, 0.8)]
 _CELLS = " UNION ALL ".join(f"SELECT {c}::DOUBLE AS x, {r}::DOUBLE AS y" for c, r in GRID)
 
 
-@query("threshold_sensitivity", f"""WITH grid AS ({_CELLS}), kept AS (SELECT DISTINCT x, y, event_id, company_id FROM affects, grid WHERE (recommended AND prob >= x) OR (NOT recommended AND prob >= y AND label_score >= y)),
-cur AS (SELECT DISTINCT event_id, company_id FROM affects WHERE (recommended AND prob >= 0.35) OR (NOT recommended AND prob >= 0.65 AND label_score >= 0.65)),
+@query("threshold_sensitivity", f"""WITH grid AS ({_CELLS}), links AS (SELECT a.*, e.event_score::DOUBLE / 8 AS sure FROM affects a JOIN graph_events e ON e.event_id = a.event_id WHERE status IN ('A', 'R')),
+kept AS (SELECT DISTINCT x, y, event_id, company_id FROM links, grid WHERE (recommended AND (label_score >= x OR focus >= 40)) OR (NOT recommended AND label_score >= y AND prob >= y AND focus >= 2 AND sure >= 0.35)),
+cur AS (SELECT DISTINCT event_id, company_id FROM links WHERE (recommended AND (label_score >= 0.35 OR focus >= 40)) OR (NOT recommended AND label_score >= 0.65 AND prob >= 0.65 AND focus >= 2 AND sure >= 0.35)),
 per AS (SELECT g.x, g.y, c.company_id, count(DISTINCT k.event_id) AS n FROM grid g CROSS JOIN companies c LEFT JOIN kept k ON k.x = g.x AND k.y = g.y AND k.company_id = c.company_id GROUP BY ALL),
 spread AS (SELECT x, y, count(*) FILTER (n > 0) AS covered, count(*) FILTER (n = 0) AS uncovered, min(n) AS least, quantile_cont(n, 0.5)::DOUBLE AS median, max(n) AS most FROM per GROUP BY x, y),
 whole AS (SELECT k.x, k.y, count(DISTINCT k.event_id) AS events, count(*) AS pairs, count(*) FILTER (c.event_id IS NULL) AS added, count(c.event_id) AS same FROM kept k LEFT JOIN cur c ON c.event_id = k.event_id AND c.company_id = k.company_id GROUP BY k.x, k.y)
 SELECT x, y, coalesce(events, 0) AS events, coalesce(pairs, 0) AS pairs, covered, uncovered, least, median, most, coalesce(added, 0) AS added, (SELECT count(*) FROM cur) - coalesce(same, 0) AS removed, coalesce(added, 0) = 0 AND (SELECT count(*) FROM cur) = coalesce(same, 0) AS same_as_current FROM spread LEFT JOIN whole USING (x, y)""")
 def threshold_sensitivity(g: Graph) -> DataFrame:
+    """The hybrid gate over a grid of confirmation and rescue thresholds."""
+    sure = g.events.select("event_id", (F.col("event_score").cast("double") / 8).alias("sure"))
+    links = g.affects.join(sure, "event_id").select("event_id", "company_id", "recommended", "focus", "label_score", F.col("status").alias("label"), F.col("prob").alias("positive"), "sure")
+    gate = S.GateConfig(accepted=("A", "R"), rescue=True)
+
     def accept(_: DataFrame, x: float, y: float):
-        prob, score = F.nanvl("prob", F.lit(0.0)), F.nanvl("label_score", F.lit(0.0))
-        return (F.col("recommended") & (prob >= x)) | (~F.col("recommended") & (prob >= y) & (score >= y))
+        return relationship_gate(links, x, 40, gate, F.col("sure"), y)
 
-    return T.sensitivity(g.affects, g.companies, GRID, (0.35, 0.65), accept)
+    return T.sensitivity(links, g.companies, GRID, (0.35, 0.65), accept)
 
 
 @query("pairs_added_removed", """WITH a AS (SELECT DISTINCT event_id, company_id FROM affects WHERE prob >= 0.35), b AS (SELECT DISTINCT event_id, company_id FROM affects WHERE label_score >= 0.35)
@@ -82,12 +88,12 @@ def pairs_added_removed(g: Graph) -> DataFrame:
     return count("added", b.exceptAll(a)).unionByName(count("removed", a.exceptAll(b))).unionByName(count("both", a.intersect(b)))
 
 
-@query("coverage_selection", """WITH found AS (SELECT company_id, count(DISTINCT e.article_id) AS articles, count(DISTINCT strftime(event_date, '%Y-%m')) AS months, min(strftime(event_date, '%Y-%m')) AS first_month, max(strftime(event_date, '%Y-%m')) AS last_month FROM affects a JOIN graph_events e USING (event_id) WHERE recommended AND event_type = '1-URGENT' AND event_date < DATE '1995-01-01' GROUP BY company_id),
-r AS (SELECT c.company_id, source_rank, coalesce(articles, 0) AS articles, coalesce(months, 0) AS months, first_month, last_month, coalesce(articles, 0) >= 20 AND coalesce(months, 0) >= 12 AS ok FROM companies c LEFT JOIN found USING (company_id)), n AS (SELECT *, (sum(ok::INT) OVER (ORDER BY source_rank))::BIGINT AS k FROM r)
-SELECT company_id, source_rank, articles, months, first_month, last_month, concat_ws('; ', CASE WHEN articles < 20 THEN 'articles' END, CASE WHEN months < 12 THEN 'months' END) AS shortfall, CASE WHEN ok AND k <= 25 THEN 'SELECTED' WHEN ok THEN 'QUALIFIED_RESERVE' ELSE 'EXCLUDED_LOW_NEWS_COVERAGE' END AS status, CASE WHEN ok AND k <= 25 THEN k END AS sample_order FROM n""")
+@query("coverage_selection", """WITH found AS (SELECT company_id, count(DISTINCT e.article_id) AS articles, count(DISTINCT strftime(event_date, '%Y-%m')) AS months, min(strftime(event_date, '%Y-%m')) AS first_month, max(strftime(event_date, '%Y-%m')) AS last_month FROM affects a JOIN graph_events e USING (event_id) WHERE recommended GROUP BY company_id),
+r AS (SELECT c.company_id, source_rank, coalesce(articles, 0) AS articles, coalesce(months, 0) AS months, first_month, last_month, coalesce(articles, 0) >= 130 AND coalesce(months, 0) >= 60 AS ok FROM companies c LEFT JOIN found USING (company_id)), n AS (SELECT *, (sum(ok::INT) OVER (ORDER BY source_rank))::BIGINT AS k FROM r)
+SELECT company_id, source_rank, articles, months, first_month, last_month, concat_ws('; ', CASE WHEN articles < 130 THEN 'articles' END, CASE WHEN months < 60 THEN 'months' END) AS shortfall, CASE WHEN ok AND k <= 25 THEN 'SELECTED' WHEN ok THEN 'QUALIFIED_RESERVE' ELSE 'EXCLUDED_LOW_NEWS_COVERAGE' END AS status, CASE WHEN ok AND k <= 25 THEN k END AS sample_order FROM n""")
 def coverage_selection(g: Graph) -> DataFrame:
-    rows = g.affects.where("recommended").join(g.events.where("event_type = '1-URGENT' AND event_date < DATE '1995-01-01'").select("event_id", "article_id", F.col("event_date").alias("published")), "event_id")
-    return T.coverage_selection(g.companies.select("company_id", "source_rank"), rows, target=25, least_articles=20, least_months=12)
+    rows = g.affects.where("recommended").join(g.events.select("event_id", "article_id", F.col("event_date").alias("published")), "event_id")
+    return T.coverage_selection(g.companies.select("company_id", "source_rank"), rows, target=25, least_articles=130, least_months=60)
 
 
 @query("cleaning_rollup", "SELECT coalesce(event_type, 'ALL') AS event_type, count(*) AS links, sum(recommended::INT)::BIGINT AS accepted, count(DISTINCT a.event_id) AS events FROM affects a JOIN graph_events USING (event_id) GROUP BY ROLLUP (event_type)")
@@ -210,10 +216,10 @@ def market_quality(g: Graph) -> DataFrame:
 
 
 def _published(g: Graph) -> DataFrame:
-    return g.table("events").where("event_type = 'signup'").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("published_at"))
+    return g.table("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("published_at"))
 
 
-ALIGN = """s AS (SELECT user_id, date, (row_number() OVER (PARTITION BY user_id ORDER BY date) - 1)::INT AS pos, close FROM prices), p AS (SELECT event_id, user_id, timezone('America/New_York', timezone('UTC', ts)) AS local FROM events WHERE event_type = 'signup'),
+ALIGN = """s AS (SELECT user_id, date, (row_number() OVER (PARTITION BY user_id ORDER BY date) - 1)::INT AS pos, close FROM prices), p AS (SELECT event_id, user_id, timezone('America/New_York', timezone('UTC', ts)) AS local FROM events),
 q AS (SELECT p.*, local::DATE AS local_date, x.pos AS same, (SELECT min(pos) FROM s WHERE s.user_id = p.user_id AND s.date > local::DATE) AS later FROM p LEFT JOIN s x ON x.user_id = p.user_id AND x.date = local::DATE),
 aligned AS (SELECT event_id, user_id, local_date, CASE WHEN same IS NOT NULL AND local::TIME <= TIME '16:00:00' THEN same ELSE later END AS anchor_pos, CASE WHEN same IS NULL THEN 'next_session_non_trading_day' WHEN local::TIME <= TIME '16:00:00' THEN 'same_session_before_close' ELSE 'next_session_after_close' END AS rule FROM q)"""
 WINDOWS = """w AS (SELECT unnest([-7, -3, -1, 1, 3, 7])::INT AS window_days), returns AS (SELECT a.event_id, a.user_id, window_days, b.date AS baseline_date, b.close AS baseline_close, e.date AS window_end_date, e.close AS window_end_close FROM aligned a CROSS JOIN w
