@@ -15,7 +15,7 @@ def assistant_tool_choice(g: Graph) -> DataFrame:
     """The tool that each turn of the conversations would be answered by."""
     q = g.table("conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.coalesce("text", F.lit("")).alias("question"))
     companies = g.table("nation").select(F.col("n_nationkey").alias("company_id"), F.col("n_name").alias("name"), F.substring("n_name", 1, 3).alias("symbol"), F.array().cast("array<string>").alias("aliases"))
-    n = A.mentions(q, F.broadcast(companies)).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
+    n = A.mentions(q, companies).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
     rows = q.join(n, "question_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rows.select("question_id", "n", A.choose_tool(F.col("question"), F.col("n"), F.col("n") > 0, F.lit(False)).alias("tool"))
 

@@ -27,9 +27,17 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str, fields: list[str], single: bool = False) -> None:
-    """The named fields in that order, others left out; one file only on request, for tables that are known to be small."""
+BOM = "\ufeff"
+
+
+def write_csv(df: DataFrame, path: str, fields: list[str], single: bool = False, bom: bool = False) -> None:
+    """The named fields in that order, others left out; one file only on request, for tables that are known to be small.
+
+    With bom every file begins with a byte-order mark, which spreadsheets ask for and read_text_csv takes off.
+    """
     out = flat(df.select(*fields))
+    if bom:
+        out = out.toDF(BOM + fields[0], *fields[1:])
     (out.coalesce(1) if single else out).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
@@ -126,6 +134,38 @@ def manifest(tables: dict[str, DataFrame], parameters: dict) -> dict:
     return {"read_only": True, "parameters": parameters, "outputs": found}
 
 
+def check_manifest(written: dict) -> dict:
+    """written, or ValueError unless it says that its outputs are read-only, and names them with counts and hashes."""
+    if written.get("read_only") is not True:
+        raise ValueError("a manifest must say read_only")
+    outputs = written.get("outputs")
+    if not isinstance(outputs, dict) or not outputs:
+        raise ValueError("a manifest names its outputs")
+    for name, facts in outputs.items():
+        if not isinstance(facts, dict) or not {"n_rows", "content_sha256"} <= set(facts):
+            raise ValueError(f"{name} lacks its count or hash")
+    found = find_credentials(written)
+    if found:
+        raise ValueError(f"a manifest holds what looks like a credential: {', '.join(found)}")
+    return written
+
+
+def write_snapshot(tables: dict[str, DataFrame], path: str, parameters: dict, most_rows: int = 100_000) -> dict:
+    """Every table as JSON lines under path, and a manifest beside them, written last; returns the manifest.
+
+    For dashboards: ValueError if a table has more than most_rows rows, before anything is written.
+    """
+    whole = check_manifest(manifest(tables, parameters))
+    for name, facts in whole["outputs"].items():
+        if facts["n_rows"] > most_rows:
+            raise ValueError(f"{name} has {facts['n_rows']} rows, more than {most_rows}")
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.coalesce(1).write.mode("overwrite").json(f"{path}/{name}", ignoreNullFields=False)
+    spark.createDataFrame([(strict_json(whole),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return whole
+
+
 def verify_manifest(tables: dict[str, DataFrame], written: dict) -> list[str]:
     """Names of tables whose content differs from the manifest's."""
     return [n for n, df in tables.items() if content_hash(df).first().asDict() != written["outputs"].get(n)]

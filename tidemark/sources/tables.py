@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +64,56 @@ def fetch_missing(spark: SparkSession, wanted: DataFrame, keys: list[str], cache
     return cache.unionByName(fetch(missing))
 
 
+class Exhausted(RuntimeError):
+    """No more attempts are allowed; what has been fetched stays, so a later run goes on from there."""
+
+
+class Transient(RuntimeError):
+    """A failure that may pass: a broken connection, a rate limit, a fault of the server."""
+
+
+@dataclass
+class Budget:
+    """Attempts that may be made, retries among them; 0 sets no bound."""
+
+    most: int
+    used: int = 0
+
+    def spend(self) -> None:
+        if 0 < self.most <= self.used:
+            raise Exhausted(f"{self.used} of {self.most} attempts are used")
+        self.used += 1
+
+
+def attempt(call: Callable[[], dict], budget: Budget, retries: int = 3, backoff: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """What call returns; a transient failure is tried again after backoff, then twice as long, and so on, `retries` times."""
+    for turn in range(retries + 1):
+        budget.spend()
+        try:
+            return call()
+        except Transient:
+            if turn == retries:
+                raise
+            sleep(backoff * 2**turn)
+    raise AssertionError("unreachable")
+
+
+def paged(keys: Iterable[tuple], page: Callable[[tuple, int], dict], budget: Budget, have: Callable[[tuple, int], dict | None] = lambda key, n: None, retries: int = 3, backoff: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple[tuple, int, dict]]:
+    """(key, page number, response) for every page of every key, from 1 to what the response gives as `pages`.
+
+    have is asked first, and what it knows costs no attempt.  Keys are few (companies by windows); rows of
+    responses become a table by flatten_articles or flatten_series.
+    """
+    for key in keys:
+        n, last = 1, 1
+        while n <= last:
+            known = have(key, n)
+            response = attempt(lambda key=key, n=n: page(key, n), budget, retries, backoff, sleep) if known is None else known
+            last = max(1, int(response.get("pages", 1)))
+            yield key, n, response
+            n += 1
+
+
 def load_config(text: str) -> dict:
     """A settings document (JSON, or YAML where a parser is installed); ValueError unless it is a mapping."""
     try:
