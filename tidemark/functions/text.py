@@ -38,11 +38,17 @@ def term_pattern(term: str, strict_case: bool = False) -> str:
     return f"(?{'' if strict_case else 'i'}U)(?<!\\w){quoted(term)}(?!\\w)"
 
 
+def has_term(text: Column, term: str) -> Column:
+    """Whether the term occurs as whole words, in any case; a plain search passes over most ASCII texts without it."""
+    plain = (F.length(text) == F.octet_length(text)) & F.lit(term.isascii())
+    return F.when(plain & ~F.contains(F.lower(text), F.lit(term.lower())), F.lit(False)).otherwise(text.rlike(term_pattern(term)))
+
+
 def term_hits(text: Column, terms: list[str] | tuple[str, ...]) -> Column:
     """The terms that occur in the text, each once, in the order given."""
     if not terms:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(text.rlike(term_pattern(t)), F.lit(t)) for t in terms]))
+    return F.array_compact(F.array(*[F.when(has_term(text, t), F.lit(t)) for t in terms]))
 
 
 def array_hits(text: Column, terms: Column) -> Column:

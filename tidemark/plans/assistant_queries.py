@@ -10,7 +10,13 @@ from .catalog import query
 from .proxy import Graph
 
 
-@query("assistant_tool_choice")
+_TOP = f"regexp_matches(question, '{A.PAIR}') AND regexp_matches(question, '{A.MOST}') AND (regexp_matches(question, '{A.OVERLAP}') OR (regexp_matches(question, '{A.RELATION}') AND regexp_matches(question, '{A.EVENT}')))"
+_NAMED = "contains(question, name) OR (length(name) >= 4 AND contains(question, name)) OR regexp_matches(question, concat('(^|[^a-z0-9])', symbol, '([^a-z0-9]|$)'))"
+
+
+@query("assistant_tool_choice", f"""WITH q AS (SELECT concat(conv_id, '-', turn) AS question_id, coalesce(text, '') AS raw, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS question FROM conversations), c AS (SELECT n_nationkey, trim(regexp_replace(lower(n_name), '\\s+', ' ', 'g')) AS name, lower(substr(n_name, 1, 3)) AS symbol FROM nation),
+m AS (SELECT question_id, count(*) AS n FROM (SELECT DISTINCT question_id, question FROM q) d JOIN c ON {_NAMED} GROUP BY question_id), r AS (SELECT q.*, coalesce(n, 0) AS n FROM q LEFT JOIN m ON m.question_id = q.question_id)
+SELECT question_id, n, CASE WHEN n >= 2 THEN 'explain_connection' WHEN {_TOP} THEN 'explain_top_connection' WHEN regexp_matches(raw, '{A.ASKS_TERM}') AND n = 0 THEN 'explain_snapshot' WHEN regexp_matches(raw, '{A.ASKS_CONNECTION}') AND n = 1 THEN 'explain_company' WHEN regexp_matches(raw, '{A.ASKS_EVENT}') THEN 'explain_event' WHEN n > 0 THEN 'explain_company' ELSE 'explain_snapshot' END AS tool FROM r""")
 def assistant_tool_choice(g: Graph) -> DataFrame:
     """The tool that each turn of the conversations would be answered by."""
     q = g.table("conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.coalesce("text", F.lit("")).alias("question"))

@@ -71,9 +71,20 @@ def span_classification(g: Graph) -> DataFrame:
     return S.classify_span(g.table("documents"), "text", "source", RULES).select("doc_id", "event_type", "event_score", "confidence", "tie")
 
 
-@query("article_classification")
+def _article_sql() -> str:
+    hits = lambda c, ws: "(" + " + ".join(f"regexp_matches({c}, '{_edge(w)}')::INT" for w in ws) + ")"
+    scores = {n: f"3 * {hits('head', ws)} + least({hits('body', ws)}, 3)" + (" + (source = 'src1')::INT" if n == "commodity_event" else "") for n, ws in RULES.keywords.items()}
+    r, c, o = scores.values()
+    return f"""WITH a AS (SELECT doc_id, coalesce(source, '') AS source, split_part(coalesce(text, ''), chr(10), 1) AS head, CASE WHEN contains(coalesce(text, ''), chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body FROM documents), s AS (SELECT doc_id, {r} AS r, {c} AS c, {o} AS o FROM a), b AS (SELECT *, greatest(r, c, o, 0) AS best FROM s),
+t AS (SELECT *, CASE WHEN best = 0 THEN 'corporate_event' WHEN r = best THEN 'regulatory_event' WHEN c = best THEN 'commodity_event' ELSE 'corporate_event' END AS event_type FROM b)
+SELECT doc_id AS article_id, event_type, best::INT AS event_score, CASE WHEN best >= 7 THEN 'high' WHEN best >= 4 THEN 'medium' ELSE 'low' END AS confidence, concat_ws('|', CASE WHEN r > 0 AND event_type <> 'regulatory_event' THEN 'regulatory_event' END, CASE WHEN c > 0 AND event_type <> 'commodity_event' THEN 'commodity_event' END, CASE WHEN o > 0 AND event_type <> 'corporate_event' THEN 'corporate_event' END) AS secondary_types, best > 0 AND (r = best)::INT + (c = best)::INT + (o = best)::INT > 1 AS tie FROM t"""
+
+
+@query("article_classification", _article_sql())
 def article_classification(g: Graph) -> DataFrame:
-    return S.classify_article(_articles(g), RULES).select("article_id", "event_type", "event_score", "confidence", "secondary_types", "tie")
+    """Articles' types from headline and body, with the other types that scored."""
+    rows = S.classify_article(_articles(g), RULES)
+    return rows.select("article_id", "event_type", "event_score", "confidence", F.array_join("secondary_types", "|").alias("secondary_types"), "tie")
 
 
 @query("span_selection")
