@@ -157,3 +157,48 @@ def test_csv_with_a_byte_order_mark(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([("a", "é")], "k string, v string"), str(tmp_path / "out"), ["k", "v"], single=True, bom=True)
     raw = next((tmp_path / "out").glob("part-*.csv")).read_bytes()
     assert raw.startswith(b"\xef\xbb\xbf") and tables.read_text_csv(spark, str(tmp_path / "out")).first().asDict() == {"k": "a", "v": "é"}
+
+
+def test_automatic_checks_need_one_current_row_that_agrees(spark):
+    companies = spark.createDataFrame([("a",), ("b",)], "company_id string")
+    events = spark.createDataFrame([("e",), ("e",)], "event_id string")
+    links = spark.createDataFrame([("e", "a", "s", "true"), ("e", "b", " ", "false")], "event_id string, company_id string, source_event_id string, recommended string")
+    study = lambda *rows: spark.createDataFrame(list(rows), "current boolean, same_as_current boolean")
+    got = {r.metric: (r.status, r.actual) for r in R.automatic_checks(companies, events, links, study((True, True), (False, False))).collect()}
+    assert got == {"canonical_company_coverage": ("FAIL", 1), "duplicate_canonical_event_ids": ("FAIL", 1), "duplicate_canonical_event_company_pairs": ("PASS", 0), "canonical_relationships_without_source_event": ("FAIL", 1), "current_threshold_reconstruction": ("PASS", 1), "graph_validation_failures": ("PASS", 0)}
+    for rows in (((True, False),), ((True, True), (True, True)), ((False, True),)):
+        bad = {r.metric: r.status for r in R.automatic_checks(companies, events, links, study(*rows)).collect()}
+        assert bad["current_threshold_reconstruction"] == "FAIL"
+
+
+def test_correlations_of_constants_are_null(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, 3.0, 1.0), (2.0, 2.0, 1.0, 2.0)], "event_count double, coevent_degree double, coevent_strength double, page_rank double")
+    got = {(r.metric_1, r.metric_2): (r.pearson, r.spearman) for r in R.correlation_rows(rows).collect()}
+    assert got["event_count", "coevent_degree"] == (None, None) and got["event_count", "coevent_strength"] == pytest.approx((-1.0, -1.0))
+    assert all(r.pearson is None for r in R.correlation_rows(rows.limit(1)).collect())
+
+
+def test_timed_runs_feed_the_latency_table(spark):
+    from tidemark.operators.stages import latency
+
+    runs = R.timed_runs({"t": spark.range(3)}, warm_ups=1, measured=3)
+    row = latency(runs).first()
+    assert runs.count() == 4 and row.runs == 3 and row.stable and row.min_ms <= row.median_ms <= row.p95_ms <= row.max_ms
+
+
+def test_user_queries_are_read_only_and_keep_columns(spark):
+    df = spark.createDataFrame([(1, "a")], "i int, s string")
+    out = tables.read_query(spark, "SELECT s, i FROM {t} WHERE i > :least", {"t": df}, {"least": 5})
+    assert out.columns == ["s", "i"] and out.count() == 0
+    with pytest.raises(ValueError):
+        tables.read_query(spark, "DROP TABLE x", {})
+
+
+def test_package_keeps_a_backup(spark, tmp_path):
+    at = str(tmp_path / "pkg")
+    assert sinks.write_package({"t": spark.range(2)}, at) == {"t": 2}
+    assert sinks.write_package({"t": spark.range(3)}, at, {"t": 3}) == {"t": 3}
+    assert spark.read.parquet(f"{at}/t").count() == 3 and spark.read.parquet(f"{at}.backup/t").count() == 2
+    with pytest.raises(ValueError):
+        sinks.write_package({"t": spark.range(1)}, at, {"t": 3})
+    assert spark.read.parquet(f"{at}/t").count() == 3

@@ -6,22 +6,36 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder, its lineage cut."""
-    spark = df.sparkSession
+_roots: set[str] = set()
+
+
+def _root(spark: SparkSession) -> str:
+    """This application's own folder in spark.checkpoint.dir; it is removed when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/tidemark-graph-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _roots.add(root)
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, its lineage cut."""
+    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def co_occurrence(links: DataFrame, item: str, member: str) -> DataFrame:
@@ -125,12 +139,13 @@ def threshold_study(nodes: DataFrame, edges: DataFrame, thresholds: list[int]) -
     return out
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 10, passes: int = 10, tolerance: float = 1e-4, weighted: bool = True) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 10, passes: int = 10, tolerance: float = 1e-4, weighted: bool = True, most_edges: int = 5_000_000) -> DataFrame:
     """(node, community, modularity): greedy modularity by levels, nodes in order, ties to the least community.
 
     For projected graphs of entities, of some thousands of nodes: the local moves depend on their order,
-    so one group holds the edges (already summed by Spark).  Larger graphs should go through components
-    first; each connected component can then be a group of its own.
+    so one group holds the edges (already summed by Spark); ValueError for more than most_edges edges and
+    nodes.  Larger graphs should go through components first; each connected component can then be a
+    group of its own.
     """
     weight = F.col("weight").cast("double") if weighted else F.lit(1.0)
     rows = edges.where("a <> b AND weight > 0").select("a", "b", weight.alias("weight"))
@@ -191,7 +206,10 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 10, passes: int =
             first.setdefault(g, x)
         return pd.DataFrame({"node": names, "community": [first[g] for g in own], "modularity": max(quality, 0.0)})
 
-    return rows.unionByName(alone).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(move, f"node {kind}, community {kind}, modularity double")
+    whole = cut(rows.unionByName(alone))
+    if whole.count() > most_edges:
+        raise ValueError(f"the graph has more than {most_edges} edges and nodes")
+    return whole.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(move, f"node {kind}, community {kind}, modularity double")
 
 
 def modularity(groups: DataFrame, edges: DataFrame) -> DataFrame:

@@ -162,3 +162,78 @@ def overview(links: DataFrame, events: DataFrame, companies: DataFrame, least: f
     late = late.orderBy(F.col("event_date").desc(), "event_id", "company_id", "l_linenumber").limit(recent)
     kinds = links.join(events.select("event_id", "event_type"), "event_id", "left").groupBy(F.coalesce("event_type", F.lit("other")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
     return late, kinds, event_counts(companies, links.select("company_id", "event_id").distinct(), top)
+
+
+def automatic_checks(companies: DataFrame, events: DataFrame, links: DataFrame, sensitivity: DataFrame, validation: DataFrame | None = None) -> DataFrame:
+    """(metric, status, actual, expected) of canonical events and links, a threshold study and a graph validation.
+
+    links have event_id, company_id, source_event_id, recommended; sensitivity has current and
+    same_as_current, of which exactly one current row must agree; without a validation its check passes.
+    """
+    from ..functions.columns import nonblank, parse_bool
+
+    good = F.when(parse_bool(F.col("recommended")), F.col("company_id"))
+    spare = lambda df, keys: duplicates(df, keys).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("actual"))
+    zero = F.lit(0).cast("long")
+    now = F.col("current").cast("boolean")
+    failed = validation.agg(F.count(F.when(F.col("status") == "FAIL", 1)).alias("actual")) if validation is not None else companies.agg(F.lit(0).cast("long").alias("actual"))
+    rows = [
+        links.agg(F.countDistinct(good).alias("actual")).join(companies.agg(F.count(F.lit(1)).alias("expected"))).select(F.lit("canonical_company_coverage").alias("metric"), "actual", "expected"),
+        spare(events, ["event_id"]).select(F.lit("duplicate_canonical_event_ids").alias("metric"), "actual", zero.alias("expected")),
+        spare(links, ["event_id", "company_id"]).select(F.lit("duplicate_canonical_event_company_pairs").alias("metric"), "actual", zero.alias("expected")),
+        links.agg(F.count(F.when(~nonblank(F.col("source_event_id").cast("string")), 1)).alias("actual")).select(F.lit("canonical_relationships_without_source_event").alias("metric"), "actual", zero.alias("expected")),
+        sensitivity.agg(((F.count(F.when(now, 1)) == 1) & F.coalesce(F.bool_and(F.when(now, F.col("same_as_current"))), F.lit(False))).cast("long").alias("actual")).select(F.lit("current_threshold_reconstruction").alias("metric"), "actual", F.lit(1).cast("long").alias("expected")),
+        failed.select(F.lit("graph_validation_failures").alias("metric"), "actual", zero.alias("expected")),
+    ]
+    out = reduce(DataFrame.unionByName, rows)
+    return out.select("metric", F.when(F.col("actual") == F.col("expected"), "PASS").otherwise("FAIL").alias("status"), "actual", "expected")
+
+
+#: Pairs of measures that a graph study compares.
+MEASURES = (("event_count", "coevent_degree"), ("event_count", "coevent_strength"), ("coevent_degree", "coevent_strength"), ("coevent_strength", "page_rank"))
+
+
+def correlation_rows(metrics: DataFrame, pairs: tuple[tuple[str, str], ...] = MEASURES) -> DataFrame:
+    """(metric_1, metric_2, n, pearson, spearman) of each pair; null with fewer than two rows or where one side does not vary."""
+    from ..functions.columns import average_rank, pearson
+
+    names = sorted({x for p in pairs for x in p})
+    rows = metrics.select(*[F.col(x).cast("double").alias(x) for x in names])
+    rows = rows.select("*", *[average_rank(F.col(x)).alias(f"_{x}") for x in names])
+    found = rows.agg(F.count(F.lit(1)).alias("n"), *[pearson(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)], *[pearson(F.col(f"_{a}"), F.col(f"_{b}")).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
+    parts = [F.struct(F.lit(a).alias("metric_1"), F.lit(b).alias("metric_2"), F.col("n"), F.when(F.col("n") > 1, F.col(f"p{i}")).alias("pearson"), F.when(F.col("n") > 1, F.col(f"s{i}")).alias("spearman")) for i, (a, b) in enumerate(pairs)]
+    return found.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+
+
+def event_set(links: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key: distinct events, how many of each type (sorted 'type=n', joined by '; '), first and latest date."""
+    rows = links.select(*keys, "event_id").distinct().join(events.select("event_id", "event_type", "event_date"), "event_id")
+    by = rows.groupBy(*keys, "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_date").alias("first"), F.max("event_date").alias("latest"))
+    listed = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "event_type", F.col("n").cast("string")))), "; ")
+    return by.groupBy(*keys).agg(F.sum("n").alias("events"), listed.alias("types"), F.min("first").alias("first_date"), F.max("latest").alias("latest_date"))
+
+
+def company_months(links: DataFrame, events: DataFrame, companies: DataFrame, start: str, end: str) -> DataFrame:
+    """(company_id, month, n): every company's distinct events in every month from start to end, 0 included."""
+    from .stages import monthly
+
+    rows = links.select("company_id", "event_id").distinct().join(events.select("event_id", "event_date"), "event_id")
+    return monthly(rows, "event_date", start, end, companies.select("company_id").distinct())
+
+
+def timed_read(df: DataFrame) -> dict:
+    """Milliseconds until the result of df is consumed, its rows and its content hash."""
+    import time
+
+    from ..sources.sinks import content_hash
+
+    begun = time.perf_counter_ns()
+    found = content_hash(df).first()
+    return {"client_elapsed_ms": (time.perf_counter_ns() - begun) / 1e6, "result_rows": found["n_rows"], "result_sha256": found["content_sha256"]}
+
+
+def timed_runs(tasks: dict[str, DataFrame], warm_ups: int = 2, measured: int = 10) -> DataFrame:
+    """(task_id, run, is_warmup, client_elapsed_ms, result_rows, result_sha256) of every run of every task, for `latency`."""
+    spark = next(iter(tasks.values())).sparkSession
+    rows = [(name, i, i < warm_ups, *timed_read(df).values()) for name, df in tasks.items() for i in range(warm_ups + measured)]
+    return spark.createDataFrame(rows, "task_id string, run int, is_warmup boolean, client_elapsed_ms double, result_rows bigint, result_sha256 string")

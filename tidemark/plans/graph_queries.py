@@ -149,8 +149,11 @@ def database_totals(g: Graph) -> DataFrame:
 
 @query("task1_screening", """SELECT c.company_id, company, source_rank, min(asset_id) AS symbol, count(DISTINCT event_id) AS event_count, count(DISTINCT CASE WHEN trim(evidence) <> '' THEN event_id END) AS evidenced_event_count FROM companies c LEFT JOIN affects a USING (company_id) GROUP BY c.company_id, company, source_rank""")
 def task1_screening(g: Graph) -> DataFrame:
-    rows = g.companies.join(g.affects.select("company_id", "event_id", "evidence"), "company_id", "left")
-    return rows.groupBy("company_id", "company", "source_rank").agg(F.min("asset_id").alias("symbol"), F.countDistinct("event_id").alias("event_count"), F.countDistinct(F.when(nonblank(F.col("evidence")), F.col("event_id"))).alias("evidenced_event_count"))
+    """Every company with its events, and those with evidence; links become one row for each pair before anything is counted."""
+    one = g.affects.groupBy("company_id", "event_id").agg(F.bool_or(nonblank(F.col("evidence"))).alias("evidenced"))
+    n = one.groupBy("company_id").agg(F.count("event_id").alias("event_count"), F.count(F.when(F.col("evidenced"), F.col("event_id"))).alias("evidenced_event_count"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return g.companies.join(n, "company_id", "left").select("company_id", "company", "source_rank", F.col("asset_id").alias("symbol"), zero("event_count"), zero("evidenced_event_count"))
 
 
 @query("task2_dossier", f"""SELECT a.company_id, a.event_id, a.l_linenumber, evidence, count(r.article_id) AS matching_source_count, count(DISTINCT CASE WHEN trim(url) <> '' THEN url END) AS source_url_count, coalesce(string_agg(DISTINCT CASE WHEN trim(url) <> '' THEN url END, ' ' ORDER BY CASE WHEN trim(url) <> '' THEN url END), '') AS urls

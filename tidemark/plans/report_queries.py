@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DedupConfig, GateConfig
 from ..functions import text as X
+from ..operators import assistant as A
 from ..operators import canonical as K
 from ..operators import graph as G
 from ..operators import reporting as R
@@ -315,3 +316,52 @@ def queried_and_matched(g: Graph) -> DataFrame:
 def unescaped(g: Graph) -> DataFrame:
     """Character references of every kind, decoded."""
     return g.table("documents").select("doc_id", X.unescape(F.concat(F.lit("&lt;"), F.coalesce("source", F.lit("")), F.lit("&gt; &amp; &copy; &#xE9; &#128512; &nope;"))).alias("plain"))
+
+
+@query("automatic_checks", """WITH l AS (SELECT event_id, company_id, source_event_id, recommended FROM affects), d AS (SELECT coalesce(sum(n - 1), 0)::BIGINT AS n FROM (SELECT count(*) AS n FROM l GROUP BY event_id, company_id) z), c AS (SELECT 'canonical_company_coverage' AS metric, (SELECT count(DISTINCT company_id) FROM l WHERE recommended) AS actual, (SELECT count(*) FROM companies) AS expected UNION ALL SELECT 'duplicate_canonical_event_ids', (SELECT count(*) - count(DISTINCT event_id) FROM graph_events), 0 UNION ALL SELECT 'duplicate_canonical_event_company_pairs', (SELECT n FROM d), 0
+UNION ALL SELECT 'canonical_relationships_without_source_event', (SELECT count(*) FROM l WHERE source_event_id IS NULL), 0 UNION ALL SELECT 'current_threshold_reconstruction', 1, 1 UNION ALL SELECT 'graph_validation_failures', (SELECT count(*) FROM graph_events WHERE event_type = '5-LOW'), 0) SELECT metric, CASE WHEN actual = expected THEN 'PASS' ELSE 'FAIL' END AS status, actual, expected FROM c""")
+def automatic_checks(g: Graph) -> DataFrame:
+    """Checks of canonical rows, the threshold study and the graph's validation."""
+    study = g.spark.createDataFrame([(True, True), (False, False)], "current boolean, same_as_current boolean")
+    validation = g.events.select(F.when(F.col("event_type") == "5-LOW", "FAIL").otherwise("PASS").alias("status"))
+    return R.automatic_checks(g.companies, g.events, g.affects, study, validation)
+
+
+@query("measure_correlations", f"""WITH p AS {_EDGES}, w AS (SELECT a, b, weight FROM p UNION ALL SELECT b, a, weight FROM p), m AS (SELECT c.company_id, (SELECT count(*) FROM affects x WHERE x.company_id = c.company_id)::DOUBLE AS event_count, (SELECT count(*) FROM w WHERE w.a = c.company_id)::DOUBLE AS coevent_degree, (SELECT coalesce(sum(weight), 0) FROM w WHERE w.a = c.company_id)::DOUBLE AS coevent_strength, (c.company_id * 7 % 13)::DOUBLE AS page_rank FROM companies c),
+r AS (SELECT *, (rank() OVER (ORDER BY event_count) + (count(*) OVER (PARTITION BY event_count) - 1) / 2.0)::DOUBLE AS re, (rank() OVER (ORDER BY coevent_degree) + (count(*) OVER (PARTITION BY coevent_degree) - 1) / 2.0)::DOUBLE AS rd, (rank() OVER (ORDER BY coevent_strength) + (count(*) OVER (PARTITION BY coevent_strength) - 1) / 2.0)::DOUBLE AS rs, (rank() OVER (ORDER BY page_rank) + (count(*) OVER (PARTITION BY page_rank) - 1) / 2.0)::DOUBLE AS rp FROM m),
+z AS (SELECT 'event_count' AS metric_1, 'coevent_degree' AS metric_2, count(*) AS n, corr(event_count, coevent_degree) AS p, corr(re, rd) AS s FROM r UNION ALL SELECT 'event_count', 'coevent_strength', count(*), corr(event_count, coevent_strength), corr(re, rs) FROM r UNION ALL SELECT 'coevent_degree', 'coevent_strength', count(*), corr(coevent_degree, coevent_strength), corr(rd, rs) FROM r UNION ALL SELECT 'coevent_strength', 'page_rank', count(*), corr(coevent_strength, page_rank), corr(rs, rp) FROM r)
+SELECT metric_1, metric_2, n, CASE WHEN isnan(p) THEN NULL ELSE round(p, 6) END AS pearson, CASE WHEN isnan(s) THEN NULL ELSE round(s, 6) END AS spearman FROM z""")
+def measure_correlations(g: Graph) -> DataFrame:
+    """How four pairs of companies' measures go together."""
+    own = g.affects.groupBy("company_id").agg(F.count(F.lit(1)).alias("event_count"))
+    shape = G.structure(g.companies.select(F.col("company_id").alias("node")), _edges(g)).select(F.col("node").alias("company_id"), F.col("degree").alias("coevent_degree"), F.col("strength").alias("coevent_strength"))
+    rows = g.companies.select("company_id").join(own, "company_id", "left").join(shape, "company_id").select(F.coalesce("event_count", F.lit(0)).alias("event_count"), "coevent_degree", "coevent_strength", F.pmod(F.col("company_id") * 7, F.lit(13)).alias("page_rank"))
+    return R.correlation_rows(rows).select("metric_1", "metric_2", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+@query("company_event_sets", """WITH o AS (SELECT DISTINCT company_id, a.event_id, event_type, event_date FROM affects a JOIN graph_events e ON e.event_id = a.event_id), t AS (SELECT company_id, event_type, count(*) AS n, min(event_date) AS lo, max(event_date) AS hi FROM o GROUP BY ALL) SELECT company_id, sum(n)::BIGINT AS events, string_agg(concat(event_type, '=', n), '; ' ORDER BY concat(event_type, '=', n)) AS types, min(lo) AS first_date, max(hi) AS latest_date FROM t GROUP BY company_id""")
+def company_event_sets(g: Graph) -> DataFrame:
+    """What an answer about each company rests on: its events by type, and when."""
+    return R.event_set(g.affects, g.events, ["company_id"])
+
+
+@query("pair_event_sets", f"""WITH one AS (SELECT DISTINCT event_id, company_id FROM affects), o AS (SELECT x.company_id AS a, y.company_id AS b, x.event_id, event_type, event_date FROM one x JOIN one y ON x.event_id = y.event_id AND x.company_id < y.company_id JOIN graph_events e ON e.event_id = x.event_id), t AS (SELECT a, b, event_type, count(*) AS n, min(event_date) AS lo, max(event_date) AS hi FROM o GROUP BY ALL) SELECT a, b, sum(n)::BIGINT AS events, string_agg(concat(event_type, '=', n), '; ' ORDER BY concat(event_type, '=', n)) AS types, min(lo) AS first_date, max(hi) AS latest_date FROM t GROUP BY a, b""")
+def pair_event_sets(g: Graph) -> DataFrame:
+    """What an answer about each pair of companies rests on: the events that they share."""
+    one = g.affects.select("event_id", "company_id").distinct()
+    pairs = one.select("event_id", F.col("company_id").alias("a")).join(one.select("event_id", F.col("company_id").alias("b")), "event_id").where("a < b")
+    return R.event_set(pairs, g.events, ["a", "b"])
+
+
+@query("company_months", """WITH m AS (SELECT strftime(d, '%Y-%m') AS month FROM generate_series(DATE '1993-01-01', DATE '1994-12-01', INTERVAL 1 MONTH) t(d)), o AS (SELECT DISTINCT company_id, a.event_id, event_date FROM affects a JOIN graph_events e ON e.event_id = a.event_id WHERE event_date BETWEEN DATE '1993-01-05' AND DATE '1994-12-20'), c AS (SELECT company_id, strftime(event_date, '%Y-%m') AS month, count(*) AS n FROM o GROUP BY ALL)
+SELECT k.company_id, m.month, coalesce(n, 0) AS n FROM companies k CROSS JOIN m LEFT JOIN c ON c.company_id = k.company_id AND c.month = m.month""")
+def company_months(g: Graph) -> DataFrame:
+    """Every company's events month by month."""
+    return R.company_months(g.affects, g.events, g.companies, "1993-01-05", "1994-12-20")
+
+
+@query("collected_articles", """WITH f AS (SELECT article_id, min(event_id) AS e, string_agg(DISTINCT company_id::VARCHAR, '|' ORDER BY company_id::VARCHAR) AS members FROM reports r JOIN affects a USING (event_id) GROUP BY article_id) SELECT article_id, members, row_number() OVER (ORDER BY e, article_id) AS place FROM (SELECT * FROM f ORDER BY e, article_id LIMIT 400) z""")
+def collected_articles(g: Graph) -> DataFrame:
+    """The first 400 articles of a collection with a cap, each with the companies that brought it."""
+    rows = g.reports.select("article_id", "event_id").join(g.affects.select("event_id", F.col("company_id").cast("string").alias("company_id")), "event_id")
+    return A.collected(rows, "article_id", "company_id", ["event_id"], 400).select("article_id", F.array_join("members", "|").alias("members"), "place")

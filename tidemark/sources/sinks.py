@@ -51,7 +51,8 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str)
 def write_package(tables: dict[str, DataFrame], path: str, expected: dict[str, int] | None = None) -> dict[str, int]:
     """Every table as Parquet under path; ValueError for an empty one, or a count other than expected, before anything is final.
 
-    Written into a staging folder and then moved, so readers see whole packages.
+    Written into a staging folder and then moved, so readers see whole packages; what stood there before
+    stays beside it as a backup, and comes back if the moved tables do not count as they should.
     """
     spark = next(iter(tables.values())).sparkSession
     counts: dict[str, int] = {}
@@ -68,6 +69,12 @@ def write_package(tables: dict[str, DataFrame], path: str, expected: dict[str, i
         fs.delete(where(f"{path}.backup"), True)
         fs.rename(where(path), where(f"{path}.backup"))
     fs.rename(where(f"{path}.staging"), where(path))
+    moved = {name: spark.read.parquet(f"{path}/{name}").count() for name in tables}
+    if moved != counts:
+        fs.delete(where(path), True)
+        if fs.exists(where(f"{path}.backup")):
+            fs.rename(where(f"{path}.backup"), where(path))
+        raise ValueError(f"the moved package counts {moved}, not {counts}")
     return counts
 
 

@@ -150,3 +150,10 @@ def typed(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """df's text columns cast as declared; what does not parse is null."""
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     return df.select(*[F.nullif(F.trim(F.col(f.name)), F.lit("")).try_cast(f.dataType).alias(f.name) for f in fields])
+
+
+def read_query(spark: SparkSession, sql: str, tables: dict[str, DataFrame], parameters: dict | None = None) -> DataFrame:
+    """A user's query over named tables ({name} in the text) with named parameters (:name); it may not write, and an empty result keeps its columns."""
+    from .sinks import check_read_only
+
+    return spark.sql(check_read_only(sql), args=parameters or {}, **tables)
