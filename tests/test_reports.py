@@ -45,7 +45,7 @@ def test_first_come_rules(spark):
     assert {(r.event_id, r.n) for r in K.focused_links(rows, "focus", "n").collect()} == {("e", 1), ("f", 3)}
     assert {(r.event_id, r.n) for r in K.first_rows(rows, ["event_id"], ["n"]).collect()} == {("e", 0), ("f", 3)}
     scored = spark.createDataFrame([("e", "one", 0.5, 0.9, 0), ("e", "two", 0.7, 0.1, 1), ("e", "three", 0.7, 0.2, 2), ("e", "four", 0.7, 0.2, 3)], "event_id string, sentence string, positive double, score double, n int")
-    assert K.best_evidence(scored, ["event_id"], "n").first().sentence == "three"
+    assert K.best_evidence(scored, ["event_id"], ["n"]).first().sentence == "three"
 
 
 def test_type_override_is_off_by_default(spark):

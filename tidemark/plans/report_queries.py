@@ -95,10 +95,10 @@ def first_event_rows(g: Graph) -> DataFrame:
     return K.first_rows(g.affects.select("event_id", "company_id", "l_linenumber", "recommended"), ["event_id"], ["l_linenumber", "company_id", "recommended"])
 
 
-@query("best_evidence", "SELECT event_id, l_linenumber, evidence, prob AS positive, label_score AS score FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prob DESC, label_score DESC, l_linenumber) AS k FROM affects) WHERE k = 1")
+@query("best_evidence", "SELECT event_id, l_linenumber, evidence, prob AS positive, label_score AS score FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prob DESC, label_score DESC, l_linenumber, evidence) AS k FROM affects) WHERE k = 1")
 def best_evidence(g: Graph) -> DataFrame:
     """Of each event the evidence that the model is surest of."""
-    return K.best_evidence(g.affects.select("event_id", "l_linenumber", "evidence", F.col("prob").alias("positive"), F.col("label_score").alias("score")), ["event_id"], "l_linenumber")
+    return K.best_evidence(g.affects.select("event_id", "l_linenumber", "evidence", F.col("prob").alias("positive"), F.col("label_score").alias("score")), ["event_id"], ["l_linenumber", "evidence"])
 
 
 @query("event_type_override", "SELECT event_id, CASE WHEN (event_id % 100)::DOUBLE / 100 >= 0.45 THEN 'model_type' ELSE event_type END AS overridden, event_type AS kept FROM graph_events")
