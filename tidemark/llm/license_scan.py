@@ -166,15 +166,15 @@ def scan_licenses(docs: DataFrame, index: LicenseIndex | None = None) -> DataFra
     fields = T._parse_datatype_string(FIELDS)
     docs = docs.drop(*fields.names)
     index = index or LicenseIndex()
-    at, names = docs.columns.index("text"), [*docs.columns, *fields.names]
+    place, names = docs.columns.index("text"), [*docs.columns, *fields.names]
     # the automaton is small, and bounded by the templates
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in fields]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [index.scan(t) for t in batch.column(at).to_pylist()]
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+            rows = [index.scan(t) for t in batch.column(place).to_pylist()]
             made = [pa.array([r[f] for r in rows], kind) for f, kind in zip(names[-len(kinds) :], kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
 

@@ -48,7 +48,7 @@ def count_tokens(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, folder:
     docs = docs.select("doc_id", "source", "lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             texts = batch.column(3).to_pylist()
             chars = pa.array([len(t or "") for t in texts], pa.int64())
             for name in versions:
