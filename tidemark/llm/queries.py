@@ -69,6 +69,21 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=75, width=5)
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT z.b, r.root FROM reach r JOIN ways z ON z.a = r.node),
+roots AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d JOIN roots ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = BlobLedger(spark, scratch(spark, "secret-ledger"))
     out = ledger.scan(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", batch="0")
@@ -113,7 +128,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
-    out = score_texts(docs, docs.where(~held_out))
+    out = score_texts(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -136,4 +151,4 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_sentencepiece_nbest": op10_sentencepiece_nbest,
 }
-ORACLE = {"op4_line_dedup": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL}
+ORACLE = {"op4_line_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL}
