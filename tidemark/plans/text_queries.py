@@ -47,15 +47,24 @@ def html_text(g: Graph) -> DataFrame:
     return g.table("pages").select("page_id", X.strip_html(F.col("html")).alias("page_text"))
 
 
-@query("sentence_records")
+_LISTED = r"list_filter(string_split_regex(text, '(?:\r?\n\s*)+|§+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '')"
+_CUT = r"""string_split(regexp_replace(t, '([.!?]["''”’]?)\s+', '\1' || chr(1), 'g'), chr(1))"""
+_SENTENCES = rf"""a AS (SELECT doc_id AS article_id, split_part(coalesce(text, ''), chr(10), 1) AS head, CASE WHEN contains(coalesce(text, ''), chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body FROM documents), p AS (SELECT article_id, 0 AS rank, 'headline' AS source, head AS text FROM a UNION ALL SELECT article_id, 2, 'body_text', body FROM a),
+q AS (SELECT article_id, rank, source, unnest({_LISTED}) AS t, generate_subscripts({_LISTED}, 1) - 1 AS paragraph FROM p), s AS (SELECT article_id, rank, source, paragraph, unnest({_CUT}) AS x, generate_subscripts({_CUT}, 1) - 1 AS sentence_position FROM q), c AS (SELECT article_id, rank, source, paragraph, sentence_position, trim(regexp_replace(x, '\s+', ' ', 'g')) AS sentence FROM s),
+f AS (SELECT *, row_number() OVER (PARTITION BY article_id, lower(sentence) ORDER BY rank, paragraph, sentence_position) AS k FROM c WHERE sentence <> ''), sentences AS (SELECT article_id, row_number() OVER (PARTITION BY article_id ORDER BY rank, paragraph, sentence_position) - 1 AS position, source, paragraph, sentence_position, sentence FROM f WHERE k = 1)"""
+
+
+@query("sentence_records", f"WITH {_SENTENCES} SELECT * FROM sentences")
 def sentence_records(g: Graph) -> DataFrame:
     """Distinct sentences of every article in reading order."""
     return X.sentences(_articles(g), "article_id")
 
 
-@query("evidence_units")
+@query("evidence_units", f"""WITH {_SENTENCES}, n AS (SELECT *, lead(sentence) OVER w AS next, lead(source) OVER w AS next_source, lead(paragraph) OVER w AS next_paragraph FROM sentences WINDOW w AS (PARTITION BY article_id ORDER BY position))
+SELECT article_id, source, paragraph, position, sentence AS evidence, 1 AS n FROM n UNION ALL SELECT article_id, source, paragraph, position, concat(sentence, ' ', next), 2 FROM n WHERE next_source = source AND next_paragraph = paragraph AND length(concat(sentence, ' ', next)) <= 700""")
 def evidence_units(g: Graph) -> DataFrame:
-    return X.evidence_units(X.sentences(_articles(g), "article_id"), "article_id", 2, 700)
+    """Sentences, and neighbours of a paragraph that are not too long together."""
+    return X.evidence_units(X.sentences(_articles(g), "article_id"), "article_id", 2, 700).drop("sentences")
 
 
 def _span_sql() -> str:
@@ -136,10 +145,32 @@ def _mentions(g: Graph) -> tuple[DataFrame, DataFrame]:
     return events, links
 
 
-@query("similar_mentions")
+def _similar_sql() -> str:
+    quotes = "'" + "''" * 2 + '""--' + "'"  # two apostrophes, two quotation marks, two hyphens
+    plain = lambda c: f"""trim(regexp_replace(regexp_replace(lower(translate({c}, '’‘“”–—', {quotes})), 'https?://\\S+', ' ', 'g'), '[^a-z0-9$%'']+', ' ', 'g'))"""
+    stop = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+    least = DedupConfig().least_word_cosine
+    return f"""WITH d AS (SELECT concat('E', lpad(doc_id::VARCHAR, 9, '0')) AS event_id, doc_id, lang, DATE '2025-07-01' + (doc_id % 8)::INT AS day, coalesce(text, '') AS body, trim(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '\\s+', ' ', 'g')) AS head FROM documents),
+h AS (SELECT *, rtrim(regexp_replace(substring(head, 1, 179), ' [^ ]*$', ''), ' ,;:-') AS cut FROM d), t AS (SELECT *, CASE WHEN length(head) <= 180 THEN head WHEN cut <> '' THEN cut ELSE substring(head, 1, 179) END AS title FROM h),
+n AS (SELECT event_id, doc_id, lang, day, {plain('title')} AS a, {plain('body')} AS b FROM t), x AS (SELECT event_id, doc_id, lang, day, CASE WHEN a <> '' AND starts_with(b, a) THEN b ELSE trim(concat_ws(' ', a, b)) END AS text FROM n),
+k AS (SELECT event_id, list_filter(regexp_extract_all(text, '[a-z0-9]+(?:''[a-z]+)?'), lambda w: length(w) > 1 AND w NOT IN ({stop})) AS w FROM x),
+f AS (SELECT event_id, unnest(w) AS feature FROM k UNION ALL SELECT event_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: concat(w[i], '_', w[i + 1]))) FROM k),
+tf AS (SELECT event_id, feature, 1 + ln(count(*)) AS v FROM f GROUP BY ALL), df AS (SELECT feature, count(*) AS n FROM tf GROUP BY feature), wt AS (SELECT event_id, feature, v * (ln(((SELECT count(*) FROM x) + 1) / (n + 1)::DOUBLE) + 1) AS v FROM tf JOIN df USING (feature)), wl AS (SELECT event_id, sqrt(sum(v * v)) AS l FROM wt GROUP BY event_id), wn AS (SELECT event_id, feature, v / l AS v FROM wt JOIN wl USING (event_id)),
+wx AS (SELECT wn.*, lang, day FROM wn JOIN x USING (event_id)),
+c AS (SELECT p.event_id AS a, q.event_id AS b, sum(p.v * q.v) AS word FROM wx p JOIN wx q ON p.feature = q.feature AND p.lang = q.lang AND p.event_id < q.event_id AND abs(p.day - q.day) <= 7 GROUP BY ALL HAVING sum(p.v * q.v) >= {least} - 1e-9),
+e AS (SELECT a, b, word FROM c UNION SELECT p.event_id, q.event_id, 0 FROM x p JOIN x q ON p.text = q.text AND p.text <> '' AND p.lang = q.lang AND p.event_id < q.event_id AND abs(p.day - q.day) <= 7 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.a = p.event_id AND c.b = q.event_id)),
+m AS (SELECT DISTINCT event_id, text FROM x JOIN (SELECT a AS event_id FROM e UNION SELECT b FROM e) i USING (event_id)), g AS (SELECT event_id, substring(text, s, z) AS feature FROM (SELECT event_id, text, z, unnest(generate_series(1, length(text) - z + 1)) AS s FROM m, (VALUES (3), (4), (5)) v(z)) o),
+cf AS (SELECT event_id, feature, 1 + ln(count(*)) AS v FROM g GROUP BY ALL), cl AS (SELECT event_id, sqrt(sum(v * v)) AS l FROM cf GROUP BY event_id), cn AS (SELECT event_id, feature, v / l AS v FROM cf JOIN cl USING (event_id)), ch AS (SELECT e.a, e.b, sum(p.v * q.v) AS characters FROM e JOIN cn p ON p.event_id = e.a JOIN cn q ON q.event_id = e.b AND q.feature = p.feature GROUP BY ALL),
+s AS (SELECT e.a, e.b, xa.text <> '' AND xa.text = xb.text AS exact, word, coalesce(characters, 0) AS characters, coalesce(len(list_intersect(list_distinct(ka.w), list_distinct(kb.w)))::DOUBLE / nullif(least(len(list_distinct(ka.w)), len(list_distinct(kb.w))), 0), 0) AS containment FROM e JOIN x xa ON xa.event_id = e.a JOIN x xb ON xb.event_id = e.b JOIN k ka ON ka.event_id = e.a JOIN k kb ON kb.event_id = e.b LEFT JOIN ch ON ch.a = e.a AND ch.b = e.b),
+r AS (SELECT *, CASE WHEN exact THEN 1.0 ELSE 0.75 * word + 0.25 * characters END AS combined FROM s)
+SELECT a, b, exact, round(word, 6) AS word, round(characters, 6) AS characters, round(containment, 6) AS containment, round(combined, 6) AS combined FROM r WHERE combined >= 0.72 AND (exact OR containment >= 0.45)"""
+
+
+@query("similar_mentions", _similar_sql())
 def similar_mentions(g: Graph) -> DataFrame:
     """Pairs of mentions that pass the text test, of one language and within a week."""
-    return D.similar_pairs(_mentions(g)[0], DedupConfig())
+    rows = D.similar_pairs(_mentions(g)[0], DedupConfig())
+    return rows.select("a", "b", "exact", *[F.round(c, 6).alias(c) for c in ("word", "characters", "containment", "combined")])
 
 
 @query("canonical_events")
