@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import nsmallest
 from itertools import chain as chained
-from itertools import product
+from itertools import product, repeat
 from pathlib import Path
 
 import numpy as np
@@ -33,7 +33,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal U+2581 in a text while it is cut; no valid text contains it.
 LITERAL = "\udc81"
-REMEMBERED = 200_000
+#: Chunks that a process remembers; beyond, it starts anew.
+REMEMBERED = 400_000
 #: Chunks of up to so many characters are searched by the thousand, longer ones singly.
 SHORT = 32
 #: Texts are taken up together until they have so many characters.
@@ -138,8 +139,11 @@ class PieceModel:
         runs = ["".join(map(re.escape, sorted(c))) for c in classes if c]
         self.cut = re.compile("|".join([*[f"{SPACE}*[{r}]+" for r in runs], f"{SPACE}+", "."]), re.DOTALL).findall
         self.openings: dict[str, tuple[list[tuple[int, float]], bool]] = {}
-        self.memory: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        #: Where a chunk's best ids, their number and score, and what the second segmentation loses, stand in the lists.
+        self.memory: dict[str, int] = {}
+        self.best: list[bytes] = []
+        self.size, self.score, self.loss = np.empty(0, np.int64), np.empty(0), np.empty(0)
+        self.passing: list[str] = []
         self.close: dict[str, list[tuple[float, bytes]]] = {}
 
     def spelt(self, c: str) -> bytes:
@@ -230,24 +234,29 @@ class PieceModel:
         That is what the search's second result loses: the least that any place of the best path loses
         by coming in through another piece.
         """
-        known = self.older.get(chunk)
-        if known is None:
-            best, other, back = self.forward(chunk)
-            at, ids, least, get = len(chunk), [], math.inf, self.ids.get
-            while at:
-                start, least = back[at], min(least, best[at] - other[at])
-                own = get(chunk[start:at])
-                ids += [own] if own is not None else self.piece(chunk, start, at)[::-1]
-                at = start
-            known = (array("i", ids[::-1]).tobytes(), best[-1], least)
-        if len(self.memory) >= REMEMBERED:
-            self.older, self.memory = self.memory, {}
-        if len(chunk) <= 64:
-            self.memory[chunk] = known
-        return known
+        best, other, back = self.forward(chunk)
+        at, ids, least, get = len(chunk), [], math.inf, self.ids.get
+        while at:
+            start, least = back[at], min(least, best[at] - other[at])
+            own = get(chunk[start:at])
+            ids += [own] if own is not None else self.piece(chunk, start, at)[::-1]
+            at = start
+        return array("i", ids[::-1]).tobytes(), best[-1], least
+
+    def remember(self, chunks: list[str], ids: list[bytes], score: np.ndarray, loss: np.ndarray) -> None:
+        at = len(self.best)
+        self.memory.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+        self.best += ids
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        for name, more in (("size", size), ("score", score), ("loss", loss)):
+            have = getattr(self, name)
+            if at + len(chunks) > len(have):  # room for as many again
+                have = np.concatenate((have[:at], np.empty(at + len(chunks), have.dtype)))
+                setattr(self, name, have)
+            have[at : at + len(chunks)] = more
 
     def learn(self, chunks: list[str]) -> None:
-        """Remembers the parts of many chunks at once, each of 2 to SHORT characters."""
+        """Remembers the parts of many chunks at once, each of 2 to SHORT characters; those with a character that is no piece are left."""
         finder, low = self.finder, -math.inf
         chunks.sort(key=len)
         for first in range(0, len(chunks), 8192):
@@ -278,22 +287,38 @@ class PieceModel:
             stops = np.cumsum((paths >= 0).sum(axis=1)) * 4
             raw = paths[paths >= 0].astype(np.int32).tobytes()
             score = best[row, n]
-            start = 0
-            for chunk, stop, value, loss in zip(own, stops.tolist(), score.tolist(), least.tolist(), strict=True):
-                if value > low:  # else a character of it is no piece
-                    self.memory[chunk] = (raw[start:stop], value, loss)
-                start = stop
-
-    def cut_all(self, texts: list[str | None]) -> list[list[str]]:
-        """The chunks of each text, none for null and empty ones; short ones that are new are searched together."""
+            made = [raw[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist(), strict=False)]
+            good = score > low
+            if good.all():
+                self.remember(own, made, score, least)
+            else:
+                at = np.flatnonzero(good)
+                self.remember([own[i] for i in at], [made[i] for i in at], score[at], least[at])
+
+    def cut_all(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
+        """The chunks of each text and where each is remembered; null and empty texts have none.
+
+        Short chunks that are new are searched together.  Those of more than 64 characters are remembered
+        until the next call only.
+        """
+        for chunk in self.passing:
+            del self.memory[chunk]
+        del self.best[len(self.best) - len(self.passing) :]
+        if len(self.memory) > REMEMBERED:
+            self.memory, self.best = {}, []
         cuts = [self.cut(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
-        new = set(chained.from_iterable(cuts)) - self.memory.keys()
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.older, self.memory = self.memory, {}
-        old = new & self.older.keys()
-        self.memory.update({c: self.older[c] for c in old})
-        self.learn([c for c in new - old if 1 < len(c) <= SHORT])
-        return cuts
+        at = [np.fromiter(map(self.memory.get, c, repeat(-1)), np.int64, len(c)) for c in cuts]
+        gaps = [np.flatnonzero(x < 0).tolist() for x in at]
+        new = {c[i] for c, own in zip(cuts, gaps, strict=True) for i in own}
+        self.learn([c for c in new if 1 < len(c) <= SHORT])
+        self.passing = [c for c in new if len(c) > 64]
+        for some in ([c for c in new if len(c) <= 64 and c not in self.memory], self.passing):
+            parts = [self.parts(c) for c in some]
+            self.remember(some, [p[0] for p in parts], np.array([p[1] for p in parts]), np.array([p[2] for p in parts]))
+        for c, x, own in zip(cuts, at, gaps, strict=True):
+            if own:
+                x[own] = [self.memory[c[i]] for i in own]
+        return list(zip(cuts, at, strict=True))
 
     def all_parts(self, chunk: str) -> list[tuple[float, bytes]]:
         """A chunk's nbest segmentations."""
@@ -317,30 +342,30 @@ class PieceModel:
             choices.append((sum([options[i][0][0] - options[i][p][0] for i, p in picks]), picks))
         return sorted(choices)[: self.nbest]
 
-    def encode(self, text: str | None, chunks: list[str] | None = None) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
+    def encode(self, text: str | None, cut: tuple[list[str], np.ndarray] | None = None) -> tuple[bytes, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
         """(32-bit ids of the best segmentation, the nbest): each with its score and where it differs, as (place, ids dropped, ids put).
 
-        Null and empty texts have no ids and one segmentation of score 0.  chunks: those of the text, where they are known.
+        Null and empty texts have no ids and one segmentation of score 0.  cut: what cut_all gave for the text.
         """
         if not text:
             return b"", [(0.0, [])]
-        get, parts = self.memory.get, self.parts
-        chunks = chunks or self.cut_all([text])[0]
-        options = [get(c) or parts(c) for c in chunks]
-        base = math.fsum([o[1] for o in options])
-        losses = [o[2] for o in options]
-        near = sorted([i for i in nsmallest(self.nbest - 1, range(len(losses)), key=losses.__getitem__) if losses[i] < math.inf])
+        chunks, at = cut or self.cut_all([text])[0]
+        base, losses = float(self.score[at].sum()), self.loss[at]
+        # the nbest - 1 chunks whose second segmentation loses least, by place
+        few = min(self.nbest - 1, len(chunks))
+        near = np.flatnonzero(losses <= np.partition(losses, few - 1)[few - 1]) if few else np.empty(0, np.int64)
+        near = sorted(i for i in near[np.argsort(losses[near], kind="stable")][:few].tolist() if losses[i] < math.inf)
         wide = [self.all_parts(chunks[i]) for i in near]
-        starts, seen, size = [], 0, 0
+        ids = list(map(self.best.__getitem__, at.tolist()))
+        ends, more, starts = np.cumsum(self.size[at]), 0, []
         for i, own in zip(near, wide, strict=True):
-            options[i] = (own[0][1],)  # of equal segmentations the search may have found another
-            size += sum([len(o[0]) for o in options[seen:i]])
-            seen = i
-            starts.append(size // 4)
+            starts.append(int(ends[i]) - len(ids[i]) // 4 + more)
+            more += (len(own[0][1]) - len(ids[i])) // 4
+            ids[i] = own[0][1]  # of equal segmentations the search may have found another
         best = []
         for loss, picks in self.combined(wide):
             best.append((base - loss, [(starts[j], len(wide[j][0][1]) // 4, array("i", wide[j][p][1]).tolist()) for j, p in picks]))
-        return b"".join([o[0] for o in options]), best
+        return b"".join(ids), best
 
     def decode(self, ids: Iterator[int]) -> str:
         """The text of ids; the space put before it is taken off."""
