@@ -126,7 +126,8 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 2000, max_buckets: int = 1
 
     Order: doc_id descending (nulls last), then the text's SHA-256; after the last comes the first.
     Rows are dealt into ranges of doc_id, each range is ordered by itself, and the rows at the head of
-    every range are sent to the range before it as well; no task sees all rows.
+    every range are sent to the range before it as well; no task sees all rows.  Rows that share one
+    doc_id are one range at least: they are ordered in one task, on disk where memory ends.
     """
     rows = docs.select("doc_id", "text")
     bucket, heads = _ranges(rows, rows_per_bucket, max_buckets)
