@@ -115,15 +115,47 @@ def focus_scores(g: Graph) -> DataFrame:
     return rows.select("doc_id", "focus", event.alias("event_ok"), link.alias("recommended"))
 
 
-@query("grammar_calibration")
+NAMES = ["License", "MIT License", "the"]
+
+
+#: Every text after an opening that one of the patterns may find; which, goes by the length of the text.
+OPENINGS = ("The MIT License said ", "Firms such as the ", "MIT License was fined: ", "Regulators sued the ", "The license’s chief executive told ", "")
+_GRAMMAR_TEXTS = "(SELECT doc_id, source, concat(CASE n_chars % 6 " + " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(OPENINGS)) + " END, coalesce(text, '')) AS text FROM documents)"
+
+
+def _grammar_sql() -> str:
+    """The grammar's patterns without look-around: what must not be part of a word is matched as what is none."""
+    none, edge, end = r"[^\p{L}\p{N}_]", r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+    stop, line, name = r"[^.;:!?\p{L}\p{N}_]", r"[^\p{L}\p{N}_\n]", f"(?:{S.names_pattern(NAMES)})"
+    patterns = (
+        ("incidental_mention", "grammar_contextual_example", f"{edge}(?:including|such as|alongside|among|like|pointing to)(?:{stop}|{stop}[^.;:!?]{{0,78}}{stop}){name}{end}"),
+        ("direct_subject", "grammar_company_is_subject", rf"^{none}*(?:the\s+)?{name}(?:\s*,[^,]{{0,50}},)?\s+(?:(?:has|have|had|is|are|was|were)\s+)?(?:{S.SUBJECT_VERBS}){end}"),
+        ("direct_subject", "grammar_company_representative_is_subject", rf"{edge}{name}(?:[''’]s)?\s+(?:chief executive|ceo|chair|spokes(?:person|man|woman)|company)[^.;:!?]{{0,79}}{stop}(?:said|says|told|announced|reported|warned){end}"),
+        ("direct_target", "grammar_company_is_target", rf"{edge}{name}(?:{line}|{line}.{{0,33}}{line})(?:was|were|is|are|has been|have been)\s+(?:{S.TARGET_VERBS}){end}"),
+        ("direct_target", "grammar_company_is_active_clause_target", rf"{edge}(?:{S.ACTIVE_VERBS})\s+(?:the\s+)?{name}{end}"),
+    )
+    when = lambda give: " ".join(f"WHEN label <> '{to}' AND regexp_matches(text, '(?i){p}') THEN '{give(to, why)}'" for to, why, p in patterns)
+    return f"WITH d AS (SELECT doc_id, text, CASE WHEN source = 'src1' THEN 'direct_subject' ELSE 'unrelated' END AS label FROM grammar_texts) SELECT doc_id, label, CASE {when(lambda to, _: to)} ELSE label END AS calibrated, CASE {when(lambda _, why: why)} ELSE 'nlp_label_unchanged' END AS reason FROM d".replace("grammar_texts", _GRAMMAR_TEXTS)
+
+
+@query("grammar_calibration", _grammar_sql())
 def grammar_calibration(g: Graph) -> DataFrame:
     """Labels that the grammar rules change, with why."""
+    opening = F.get(F.array(*map(F.lit, OPENINGS)), F.pmod("n_chars", F.lit(len(OPENINGS))).cast("int"))
     label = F.when(F.col("source") == "src1", "direct_subject").otherwise("unrelated")
-    new, why = S.calibrate(S.names_pattern(["License", "MIT License", "the"]), F.col("text"), label)
-    return g.table("documents").select("doc_id", label.alias("label"), new.alias("calibrated"), why.alias("reason"))
+    rows = g.table("documents").select("doc_id", F.concat(opening, F.coalesce("text", F.lit(""))).alias("text"), label.alias("label"))
+    new, why = S.calibrate(S.names_pattern(NAMES), F.col("text"), F.col("label"))
+    return rows.select("doc_id", "label", new.alias("calibrated"), why.alias("reason"))
+
+
+def _scores_sql() -> str:
+    hit = lambda *ws: " + ".join(f"regexp_matches(t, '{_edge(w)}')::INT" for w in ws)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT doc_id, t, (1 + {hit("license", "version")})::DOUBLE AS a, (1 + {hit("under")})::DOUBLE AS b, (1 + {hit("the", "la", "der")})::DOUBLE AS c FROM d), n AS (SELECT doc_id, t, a / (a + b + c) AS a, b / (a + b + c) AS b, c / (a + b + c) AS c FROM h),
+l AS (SELECT *, CASE WHEN a >= b AND a >= c THEN 'direct_subject' WHEN b >= c THEN 'direct_target' ELSE 'unrelated' END AS label, round(greatest(a, b, c), 9) AS score FROM n)
+SELECT doc_id, sha256(concat('{{"labels":"a,b","model":"lexical","task":"relation","template":"{{}}","text":', to_json(t), '}}')) AS cache_key, label, round(a + b, 9) AS positive, score, label <> 'unrelated' AND score >= 0.35 AS accepted, CASE WHEN label <> 'unrelated' AND score >= 0.35 THEN 'rule_and_nlp_agree' ELSE 'nlp_rejected_rule_candidate' END AS reason FROM l"""
 
 
-@query("model_scores")
+@query("model_scores", _scores_sql())
 def model_scores(g: Graph) -> DataFrame:
     """The lexical stand-in for a model, asked once for each distinct text, with the hybrid gate's verdict."""
     labels = {"direct_subject": ("license", "version"), "direct_target": ("under",), "unrelated": ("the", "la", "der")}
