@@ -1,15 +1,18 @@
 """Canonical rows, gates, reports, paging and text helpers on small cases, nulls and ties among them."""
 
 import html
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import GateConfig
+from tidemark.functions import columns as C
 from tidemark.functions import text as X
 from tidemark.operators import canonical as K
 from tidemark.operators import reporting as R
 from tidemark.operators import scoring as S
+from tidemark.operators import stages as T
 from tidemark.sources import sinks, tables
 
 LINK = "event_id string, company_id string, article_id string, event_type string, recommended string, positive string, label_score string, focus string, link_confidence string"
@@ -202,3 +205,25 @@ def test_package_keeps_a_backup(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_package({"t": spark.range(1)}, at, {"t": 3})
     assert spark.read.parquet(f"{at}/t").count() == 3
+
+
+def test_typed_json(spark):
+    cases = {"": None, " None ": None, "TRUE": True, "12": 12, "-0.5e3": -500.0, "007": "007", "2025-07-01": "2025-07-01", '["1", "x", "true", "", "nan", "2.5", "3"]': [1, "x", True, None, None, 2.5, 3], '{"1": "2", "k": {"z": ["-4"]}, "t": "say \\"5\\", ok"}': {"1": 2, "k": {"z": [-4]}, "t": 'say "5", ok'}, "[not json]": "[not json]", 'quote "q"': 'quote "q"'}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", C.typed_json(F.col("t")).alias("j")).collect()
+    assert {r.t: json.loads(r.j) for r in rows} == cases
+    assert spark.range(1).select(C.typed_json(F.lit(None).cast("string"))).first()[0] == "null"
+
+
+def test_short_names(spark):
+    names = ["Microsoft Corporation", "Acme Company", "JPMorgan Chase & Co.", "Company Inc.", "Plain"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(X.short_name(F.col("n"))).collect()]
+    assert got == ["Microsoft", "Acme", "JPMorgan", "Company", "Plain"]
+
+
+def test_requests_needed_and_informational_checks(spark):
+    companies = spark.createDataFrame([("a",), ("b",)], "company_id string")
+    windows = spark.createDataFrame([("1", "2"), ("3", "4")], "window_start string, window_end string")
+    cached = spark.createDataFrame([("a", "1", "2"), ("b", "1", "2"), ("x", "1", "2")], "company_id string, window_start string, window_end string")
+    assert T.requests_needed(companies, windows, cached) == 2 and T.requests_needed(companies, windows, cached, companies.where("company_id = 'b'")) == 3
+    df = spark.createDataFrame([(True,), (False,)], "ok boolean")
+    assert [T.quality_check(df, "x", F.col("ok"), informational=i).first().status for i in (True, False)] == ["INFO", "FAIL"]

@@ -140,3 +140,14 @@ def check_capacity(limit: int, companies: int, windows: int, per_window: int) ->
     if limit < need:
         raise ValueError(f"the limit of {limit} is below {companies} x {windows} x {per_window} = {need}")
     return need
+
+
+#: companies' short names in figures; others lose their legal form.
+SHORT_NAMES = {
+    "Taiwan Semiconductor Manufacturing Company": "TSMC",
+    "JPMorgan Chase & Co.": "JPMorgan",
+    "Berkshire Hathaway Inc.": "Berkshire",
+    "Microsoft Corporation": "Microsoft",
+    "NVIDIA Corporation": "NVIDIA",
+    "Exxon Mobil Corporation": "Exxon Mobil",
+}

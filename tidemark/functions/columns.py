@@ -129,6 +129,23 @@ def scalar_kind(c: Column) -> Column:
     )
 
 
+def typed_json(c: Column) -> Column:
+    """The value that a text stands for, as JSON: null, boolean, number, list or object, else the text itself.
+
+    Scalars within lists and objects are taken in the same way; JSON inside a nested text is not opened.
+    """
+    t, kind = F.trim(F.coalesce(c, F.lit(""))), scalar_kind(c)
+    nested = F.to_json(F.try_parse_json(t))
+    value = lambda pattern: rf'(?<=[:\[,])"\s*{pattern}\s*"(?=[,\]}}])'  # noqa: E731  a text that is no key
+    for _ in range(2):  # neighbours in a list share a comma
+        nested = F.regexp_replace(nested, value(r"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)"), "$1")
+        for word in ("true", "false"):
+            nested = F.regexp_replace(nested, "(?i)" + value(word), word)
+        nested = F.regexp_replace(nested, "(?i)" + value("(?:null|none|nan)?"), "null")
+    plain = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    return F.when(kind == "null", "null").when(kind == "boolean", F.lower(t)).when(kind == "json", nested).when(kind.isin("integer", "number"), t).otherwise(plain)
+
+
 def average_rank(over_value: Column, partition: list[str] | None = None, descending: bool = False) -> Column:
     """Mid-rank: ties share the mean of their places."""
     from pyspark.sql import Window as W

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..config import SHORT_NAMES
 from .columns import clean
 
 #: Words left out of similarity features.
@@ -269,3 +270,11 @@ def union_ids(queried: Column, matched: Column) -> Column:
     """The distinct ids of both arrays, sorted."""
     none = F.array().cast("array<string>")
     return F.array_sort(F.array_union(F.coalesce(queried, none), F.coalesce(matched, none)))
+
+
+def short_name(name: Column, known: dict[str, str] = SHORT_NAMES) -> Column:
+    """A company's name for a figure: as listed, else without a legal form at its end."""
+    out = F.trim(F.regexp_replace(name, r"\s+(Corporation|Company|Inc\.|Ltd\.)$", ""))
+    for whole, short in known.items():
+        out = F.when(name == whole, short).otherwise(out)
+    return out

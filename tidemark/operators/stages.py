@@ -105,9 +105,25 @@ def latency(timings: DataFrame, task: str = "task_id") -> DataFrame:
     return rows.groupBy(task).agg(F.count(F.lit(1)).alias("runs"), F.percentile(ms, 0.5).alias("median_ms"), F.percentile(ms, 0.95).alias("p95_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), ((F.countDistinct("result_sha256") == 1) & (F.countDistinct("result_rows") == 1)).alias("stable"))
 
 
-def quality_check(df: DataFrame, name: str, passing: Column, of: Column | None = None) -> DataFrame:
-    """One row: how many of the rows (of those where `of` holds) pass, in percent, and PASS where all do and there are any."""
+def value_counts(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value, n): how often each value stands in each field, null as null, most often first within a field."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
+    return df.select(pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n")).orderBy("field", F.col("n").desc(), "value")
+
+
+def requests_needed(companies: DataFrame, windows: DataFrame, cached: DataFrame, refresh: DataFrame | None = None) -> int:
+    """How many (company_id, window_start, window_end) a collection has to ask for: those not cached, and all of companies to refresh."""
+    keys = ["company_id", *windows.columns]
+    wanted = companies.select("company_id").distinct().join(windows.distinct())
+    have = cached.select(*keys).distinct()
+    if refresh is not None:
+        have = have.join(refresh.select("company_id").distinct(), "company_id", "left_anti")
+    return wanted.join(have, keys, "left_anti").count()
+
+
+def quality_check(df: DataFrame, name: str, passing: Column, of: Column | None = None, informational: bool = False) -> DataFrame:
+    """One row: how many of the rows (of those where `of` holds) pass, in percent, and PASS where all do and there are any; INFO where it only informs."""
     base = F.lit(True) if of is None else of
     n = F.sum((base & F.coalesce(passing, F.lit(False))).cast("long"))
     out = df.agg(F.lit(name).alias("check_name"), F.coalesce(n, F.lit(0)).alias("numerator"), F.coalesce(F.sum(base.cast("long")), F.lit(0)).alias("denominator"))
-    return out.withColumn("percentage", percent(F.col("numerator"), F.col("denominator"), 6, None)).withColumn("status", F.when((F.col("denominator") > 0) & (F.col("numerator") == F.col("denominator")), "PASS").otherwise("FAIL"))
+    return out.withColumn("percentage", percent(F.col("numerator"), F.col("denominator"), 6, None)).withColumn("status", F.lit("INFO") if informational else F.when((F.col("denominator") > 0) & (F.col("numerator") == F.col("denominator")), "PASS").otherwise("FAIL"))

@@ -11,6 +11,7 @@ from ..operators import assistant as A
 from ..operators import canonical as K
 from ..operators import graph as G
 from ..operators import reporting as R
+from ..operators import stages as T
 from .catalog import query
 from .proxy import Graph
 
@@ -365,3 +366,23 @@ def collected_articles(g: Graph) -> DataFrame:
     """The first 400 articles of a collection with a cap, each with the companies that brought it."""
     rows = g.reports.select("article_id", "event_id").join(g.affects.select("event_id", F.col("company_id").cast("string").alias("company_id")), "event_id")
     return A.collected(rows, "article_id", "company_id", ["event_id"], 400).select("article_id", F.array_join("members", "|").alias("members"), "place")
+
+
+@query("link_value_counts", "SELECT 'link_confidence' AS field, status AS value, count(*) AS n FROM affects GROUP BY status UNION ALL SELECT 'recommended', recommended::VARCHAR, count(*) FROM affects GROUP BY recommended UNION ALL SELECT 'source_event', CASE WHEN source_event_id IS NULL THEN NULL ELSE 'known' END, count(*) FROM affects GROUP BY ALL")
+def link_value_counts(g: Graph) -> DataFrame:
+    """How often each status, decision and kind of source stands among the links."""
+    rows = g.affects.select(F.col("status").alias("link_confidence"), "recommended", F.when(F.col("source_event_id").isNotNull(), "known").alias("source_event"))
+    return T.value_counts(rows, ["link_confidence", "recommended", "source_event"])
+
+
+@query("shared_event_support", """WITH one AS (SELECT event_id, company_id, bool_or(trim(evidence) <> '') AS ok FROM affects GROUP BY ALL), p AS (SELECT x.company_id AS a, y.company_id AS b, count(*) AS shared, sum((x.ok AND y.ok)::INT)::BIGINT AS evidenced, string_agg(x.event_id::VARCHAR, '|' ORDER BY x.event_id::VARCHAR) AS ids FROM one x JOIN one y ON x.event_id = y.event_id AND x.company_id < y.company_id GROUP BY ALL) SELECT a, b, shared, evidenced, sha256(ids) AS ids_sha256 FROM p WHERE shared >= 2""")
+def shared_event_support(g: Graph) -> DataFrame:
+    """Pairs with enough shared events: the events are listed, opened again and held against both companies' links."""
+    one = g.affects.groupBy("event_id", "company_id").agg(F.bool_or(F.trim("evidence") != "").alias("ok"))
+    ends = one.select("event_id", "company_id")
+    lists = ends.withColumnRenamed("company_id", "a").join(ends.withColumnRenamed("company_id", "b"), "event_id").where("a < b").groupBy("a", "b").agg(F.collect_set("event_id").alias("ids")).where(F.size("ids") >= 2)
+    opened = lists.select("a", "b", F.explode("ids").alias("event_id"))
+    left, right = (one.select("event_id", F.col("company_id").alias(c), F.col("ok").alias(f"ok_{c}")) for c in ("a", "b"))
+    met = opened.join(left, ["event_id", "a"]).join(right, ["event_id", "b"])
+    ids = F.array_join(F.array_sort(F.transform(F.collect_set("event_id"), lambda x: x.cast("string"))), "|")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum((F.col("ok_a") & F.col("ok_b")).cast("long")).alias("evidenced"), F.sha2(ids, 256).alias("ids_sha256"))
