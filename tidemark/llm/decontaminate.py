@@ -46,7 +46,7 @@ def every_gram(words: Column, n: int) -> Column:
 
     def of(h: Column) -> Column:
         starts = F.slice(h, 1, F.greatest(F.size(h) - (n - 1), F.lit(0)))
-        return F.transform(starts, lambda _, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(F.slice(h, i + 1, n)).alias("gram")))
+        return F.transform(starts, lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(x, *[F.get(h, i + j) for j in range(1, n)]).alias("gram")))
 
     return F.get(F.transform(F.array(hashes), of), 0)
 
