@@ -133,6 +133,8 @@ def test_language_models_lose_no_language(spark):
         assert model.languages == ["one", "three", "two"] and set(model.limits) == set(model.languages)
     names = model.classify(["abc ade", "fgh jih", "mno klm", "", None, "́̂", "�￿", "123"])
     assert list(names[0]) == ["one", "two", "three", *["und"] * 5] and not names[1][3:].any() and names[3][3:].all()
+    many = [(i, make("abcde", 5 + i), f"l{i:02d}") for i in range(9)]
+    assert language_id.train(spark.createDataFrame(many, "doc_id bigint, text string, lang string"), max_languages=4).languages == ["l05", "l06", "l07", "l08"]
     empty = language_id.train(spark.createDataFrame([], "doc_id bigint, text string, lang string"))
     assert empty.languages == [] and language_id.identify(frame(spark, []), empty).count() == 0
     assert list(language_id.letters("\U00010400 á")) == [0xFFFF, 32, ord("a"), 0x301]
