@@ -28,7 +28,7 @@ def assistant_tool_choice(g: Graph) -> DataFrame:
 
 @query("assistant_event_evidence", """WITH i AS (SELECT DISTINCT company_id, event_id FROM affects WHERE company_id = 7), s AS (SELECT i.company_id, i.event_id, r.article_id, url, max(coalesce(r.source_event_id = a.source_event_id, FALSE)) AS own, r.is_representative AS rep FROM i JOIN affects a ON a.company_id = i.company_id AND a.event_id = i.event_id JOIN reports r ON r.event_id = i.event_id GROUP BY ALL),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY company_id, event_id ORDER BY CASE WHEN own AND rep THEN 0 WHEN own THEN 1 WHEN rep THEN 2 ELSE 3 END, article_id) = 1),
-m AS (SELECT i.company_id, i.event_id, count(*) AS n_windows, round(sum(cumulative_return), 6) AS total FROM i JOIN observations o ON o.event_id = i.event_id AND o.asset_id = concat('AST_', i.company_id::VARCHAR) GROUP BY ALL)
+m AS (SELECT i.company_id, i.event_id, count(*) AS n_windows, round(sum(cumulative_return), 6) + 0 AS total FROM i JOIN observations o ON o.event_id = i.event_id AND o.asset_id = concat('AST_', i.company_id::VARCHAR) GROUP BY ALL)
 SELECT i.company_id, i.event_id, b.article_id, b.url, coalesce(n_windows, 0)::INT AS n_windows, total FROM i LEFT JOIN b ON b.company_id = i.company_id AND b.event_id = i.event_id LEFT JOIN m ON m.company_id = i.company_id AND m.event_id = i.event_id""")
 def assistant_event_evidence(g: Graph) -> DataFrame:
     """Each event of one company with its best source and its windows."""
@@ -38,7 +38,7 @@ def assistant_event_evidence(g: Graph) -> DataFrame:
     market = g.observations.join(impacts.withColumn("asset_id", F.concat(F.lit("AST_"), F.col("company_id").cast("string"))), ["event_id", "asset_id"]).withColumn("causal_claim", F.lit(False))
     out = A.event_evidence(impacts, sources, market)
     total = F.aggregate("market", F.lit(0.0), lambda a, m: a + m["cumulative_return"])
-    return out.select("company_id", "event_id", "article_id", "url", F.when(F.col("market").isNull(), 0).otherwise(F.size("market")).alias("n_windows"), F.round(total, 6).alias("total"))
+    return out.select("company_id", "event_id", "article_id", "url", F.when(F.col("market").isNull(), 0).otherwise(F.size("market")).alias("n_windows"), (F.round(total, 6) + F.lit(0.0)).alias("total"))
 
 
 @query("candidate_reconciliation", "SELECT concat('T', c_custkey::VARCHAR) AS source_ticker, CASE WHEN c_custkey % 7 = 0 THEN 'absent' WHEN c_custkey % 5 = 0 THEN 'rank' WHEN c_custkey % 3 = 0 THEN 'market_cap' END AS problem FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 0 OR c_custkey % 3 = 0")

@@ -155,10 +155,11 @@ def report_counts(g: Graph) -> DataFrame:
     return R.report_counts(g.companies, links, g.reports, g.observations, checks)
 
 
-@query("window_returns", "SELECT window_days, count(cumulative_return) AS n, avg(cumulative_return) AS mean_return, quantile_cont(cumulative_return, 0.5) AS median_return FROM observations GROUP BY window_days")
+@query("window_returns", "SELECT window_days, count(cumulative_return) AS n, round(avg(cumulative_return), 9) + 0 AS mean_return, round(quantile_cont(cumulative_return, 0.5), 9) + 0 AS median_return FROM observations GROUP BY window_days")
 def window_returns(g: Graph) -> DataFrame:
     """Returns by window, as a briefing shows them."""
-    return R.window_returns(g.observations)
+    even = lambda c: (F.round(c, 9) + F.lit(0.0)).alias(c)  # noqa: E731  no negative zero
+    return R.window_returns(g.observations).select("window_days", "n", even("mean_return"), even("median_return"))
 
 
 @query("briefing_companies", "SELECT company_id, rank AS source_rank, n AS event_count FROM (SELECT c.company_id, CASE WHEN c.source_rank % 7 = 0 THEN NULL ELSE c.source_rank END AS rank, count(a.event_id) AS n FROM companies c LEFT JOIN affects a ON a.company_id = c.company_id GROUP BY ALL) ORDER BY n DESC, rank ASC NULLS LAST, company_id LIMIT 10")
