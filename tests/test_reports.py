@@ -250,3 +250,15 @@ def test_html_text_is_as_its_sql_on_odd_pages(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert dict(map(tuple, QUERIES["html_text"](spark, str(tmp_path)).collect())) == dict(con.sql(ORACLE["html_text"]).fetchall())
+
+
+def test_returns_over_a_close_of_zero(spark):
+    import datetime as dt
+
+    from tidemark.operators import market as M
+
+    closes = [0.0, 2.0, 0.0, 0.0]
+    prices = spark.createDataFrame([("k", dt.date(2024, 1, 1 + i), c) for i, c in enumerate(closes)], "k string, date date, close double")
+    aligned = spark.createDataFrame([("k", i) for i in (1, 2, 3)], "k string, anchor_pos int")
+    got = {r.anchor_pos: r.cumulative_return for r in M.return_windows(aligned, prices, "k", (1,)).collect()}
+    assert got[1] == float("inf") and got[2] == -1.0 and got[3] != got[3]

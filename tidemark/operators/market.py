@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -38,10 +38,17 @@ def align_sessions(publications: DataFrame, prices: DataFrame, key: str, timesta
     return out.join(sessions.select(F.col(key), F.col("pos").alias("anchor_pos"), F.col("_d").alias("anchor_date")), [key, "anchor_pos"], "left").select(*publications.columns, "local_date", "anchor_pos", "anchor_date", "rule")
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """a / b in floating point: over a zero infinite, or NaN if a is zero or NaN."""
+    endless = F.when((a == 0) | F.isnan(a), float("nan")).otherwise(F.signum(a) * F.when(b.cast("string") == "-0.0", float("-inf")).otherwise(float("inf")))
+    return F.when(a.isNotNull() & (b == 0), endless).otherwise(F.try_divide(a, b))
+
+
 def return_windows(aligned: DataFrame, prices: DataFrame, key: str, windows: tuple[int, ...] = MarketConfig().windows) -> DataFrame:
     """A row for every window that the series holds: window_days, baseline and end date and close, cumulative_return.
 
-    Positive windows start at the close before the anchor session; negative ones end there.
+    Positive windows start at the close before the anchor session; negative ones end there.  A return over a
+    close of 0 is infinite, or NaN if both are 0.
     """
     if 0 in windows:
         raise ValueError("a market window of 0 sessions has no meaning")
@@ -52,7 +59,7 @@ def return_windows(aligned: DataFrame, prices: DataFrame, key: str, windows: tup
     start = series.select(F.col(key), F.col("pos").alias("_a"), F.col("date").alias("baseline_date"), F.col("close").alias("baseline_close"))
     end = series.select(F.col(key), F.col("pos").alias("_b"), F.col("date").alias("window_end_date"), F.col("close").alias("window_end_close"))
     rows = rows.join(start, [key, "_a"]).join(end, [key, "_b"]).drop("_a", "_b")
-    return rows.withColumn("cumulative_return", F.try_divide("window_end_close", "baseline_close") - 1).withColumn("causal_claim", F.lit(False))
+    return rows.withColumn("cumulative_return", _ratio(F.col("window_end_close").cast("double"), F.col("baseline_close").cast("double")) - 1).withColumn("causal_claim", F.lit(False))
 
 
 def alignment_status(aligned: DataFrame, found: DataFrame, keys: list[str], windows: int = 6, timestamp: str = "published_at") -> DataFrame:
