@@ -140,6 +140,33 @@ def test_language_models_lose_no_language(spark):
     assert list(language_id.letters("\U00010400 á")) == [0xFFFF, 32, ord("a"), 0x301]
 
 
+def test_language_models_learn_every_label(spark, monkeypatch):
+    """More labels than a group holds: all are learnt, and the grouping changes no result."""
+    rng = random.Random(8)
+    alphabets = ["".join(chr(0x4E00 + 7 * i + k) for k in range(7)) for i in range(150)]
+    make = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(n))
+    rows = [(1000 * j + i, make(letters, 20 if j else 200), f"l{j:03d}") for j, letters in enumerate(alphabets) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    answers = lambda model: {r.doc_id: (r.lang_pred, r.score, r.cross_entropy, r.rejected) for r in language_id.identify(docs, model).collect()}
+    model = language_id.train(docs)
+    assert model.languages == [f"l{j:03d}" for j in range(150)] and set(model.limits) == set(model.languages)
+    found = answers(model)
+    assert {i: a[0] for i, a in found.items()} == {i: lang for i, _, lang in rows}
+    monkeypatch.setattr(language_id, "CELLS", 1 << 40)
+    whole = language_id.train(docs, group=1000)
+    assert len(model.groups) >= 3 and len(whole.groups) == 1 and whole.temperature == model.temperature
+    for i, (lang, score, entropy, rejected) in answers(whole).items():
+        assert (lang, rejected) == (found[i][0], found[i][3]) and (score, entropy) == pytest.approx(found[i][1:3], rel=1e-4)
+    mixed = [make(alphabets[0] + alphabets[149], 30), "", None, *[t for _, t, _ in rows[::50]]]
+    for a, b in zip(model.classify(mixed), whole.classify(mixed), strict=True):
+        assert list(a) == (list(b) if isinstance(a, list) else pytest.approx(list(b), rel=1e-4))
+    parts = language_id._count_grams(iter(docs.select("text", "lang").toArrow().to_batches()), most=500)
+    counted = collections.Counter()
+    for lang, gram, n in (x for batch in parts for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+        counted[lang, gram] += n
+    assert sum(counted.values()) == sum(len(t) + 1 for _, t, _ in rows)
+
+
 def test_foreign_and_random_texts_are_rejected(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet") if os.path.isdir(SF) else pytest.skip("no test tables")
     model = language_id.train(docs)
