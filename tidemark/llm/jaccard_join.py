@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, ship, stored, unused
+from .common import drop_stored, lean, ship, stored, unused
 from .components import components
 from .shingles import mixed, shingle_sets, signature
 
@@ -81,6 +81,7 @@ def _token_levels(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """The level of how many documents' tokens fall into each of 2 ** bits slots; a byte for each, whatever the corpus."""
     pieces = 1 << bits - 14
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, part = np.zeros(1 << bits, np.int32), TaskContext.get().partitionId() % 16
         for batch in _texts(batches):
@@ -90,6 +91,7 @@ def _token_levels(docs: DataFrame, width: int, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "part": pa.array([part], pa.int32()), "counts": pa.array([_packed(slots[i * PIECE : (i + 1) * PIECE])], pa.binary())})
 
     def added(last: bool):
+        @lean
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
@@ -146,6 +148,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     crowded = int(_level(usual + 6 * usual**0.5 + 16))
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
+    @lean
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = shared.value, set()
         for batch in _texts(batches):
@@ -210,6 +213,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
     place = docs.select("doc_id", "text", slot.alias("s")).select("doc_id", "text", F.bitmap_bucket_number("s").alias("b"), F.bitmap_bit_position("s").alias("p"))
 
+    @lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
@@ -228,6 +232,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
+    @lean
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tokens = None, None
         for batch in _texts(batches):

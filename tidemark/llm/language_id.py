@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stored, ship, stored
+from .common import drop_stored, lean, ship, stored
 from .shingles import mixed
 
 ORDER = 4
@@ -336,6 +336,7 @@ def build_group(counts: dict[str, tuple[np.ndarray, np.ndarray]], characters: in
 ROWS = 512
 
 
+@lean
 def _count_grams(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n); a gram may come several times. About `most` grams of all languages together are held."""
     kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -454,6 +455,7 @@ def calibrate(model: LanguageModel, trial: DataFrame) -> None:
     """
     place = {x: i for i, x in enumerate(model.languages)}
 
+    @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in model.slices(batches):
             truths = [np.array([place.get(x, -1) for x in batch.column(1).to_pylist()], np.int64) for batch in held]
@@ -494,6 +496,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     docs = docs.drop(*own)
     at, names_out = docs.columns.index("text"), [*docs.columns, *own]
 
+    @lean
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in model.slices(batches):
             found = model.classify_all([batch.column(at).to_pylist() for batch in held])

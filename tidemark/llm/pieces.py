@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import lean, ship
 
 TOKENIZER_DIR = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
@@ -35,8 +35,10 @@ SPACE = "▁"
 LITERAL = "\udc81"
 #: Chunks that a process remembers; beyond, it starts anew.
 REMEMBERED = 400_000
-#: Chunks of up to so many characters are searched by the thousand, longer ones singly.
+#: Chunks of up to so many characters are searched many together, longer ones singly.
 SHORT = 32
+#: So many short chunks at once: some 10 KB each while it lasts.
+LEARNT = 2048
 #: Texts are taken up together until they have so many characters.
 TOGETHER = 1 << 20
 OPENING = 4
@@ -259,8 +261,8 @@ class PieceModel:
         """Remembers the parts of many chunks at once, each of 2 to SHORT characters; those with a character that is no piece are left."""
         finder, low = self.finder, -math.inf
         chunks.sort(key=len)
-        for first in range(0, len(chunks), 8192):
-            own = chunks[first : first + 8192]
+        for first in range(0, len(chunks), LEARNT):
+            own = chunks[first : first + LEARNT]
             width, n = len(own[-1]), np.array([len(c) for c in own])
             found = finder.find(codes(own, width))
             best, other = np.full((2, len(own), width + 1), low)
@@ -417,6 +419,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, nbest: int = 4, into
     edits = pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("put", pa.list_(pa.int32()))]))
     kind = pa.list_(pa.struct([("score", pa.float64()), ("edits", edits)]))
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path, nbest)
         for batch in _portions(batches, at):
@@ -438,6 +441,7 @@ def decode_pieces(docs: DataFrame, path: str | None = None, into: str = "decoded
     docs = docs.drop(into)
     at, names = docs.columns.index("ids"), [*docs.columns, into]
 
+    @lean
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for whole in batches:
