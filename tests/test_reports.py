@@ -262,3 +262,24 @@ def test_returns_over_a_close_of_zero(spark):
     aligned = spark.createDataFrame([("k", i) for i in (1, 2, 3)], "k string, anchor_pos int")
     got = {r.anchor_pos: r.cumulative_return for r in M.return_windows(aligned, prices, "k", (1,)).collect()}
     assert got[1] == float("inf") and got[2] == -1.0 and got[3] != got[3]
+
+
+def test_signed_returns_are_rounded_as_their_sql(spark, tmp_path):
+    """Returns a hair below half of the ninth place, over closes of 0, and under it."""
+    import datetime as dt
+
+    import duckdb
+
+    import tidemark.plans.stage_queries  # noqa: F401  registers its queries
+    from tidemark.plans.catalog import ORACLE, QUERIES
+
+    closes = [51.2, 23.91, 51.2, 24.01, 358.4, 262.71, 0.0, 0.0, 5.0, 10.24, 0.01, 10.24, 560.21, 1e300, 1e-9, 5e9, 5e9 - 1e-6]
+    rows = [(i, dt.datetime(2024, 1, 1 + i, 12, 0, i), 1, c) for i, c in enumerate(closes)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want, found = con.sql(ORACLE["signed_returns"]).fetchall(), QUERIES["signed_returns"](spark, str(tmp_path)).collect()
+    assert len(want) > 60 and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found)
+    odd = [0.5330078125, -0.5330078125, 1e300, -1e-12, 0.0, -0.0, float("inf"), float("-inf"), float("nan"), 2.5e-9, -3.5e-9, None]
+    got = [r.x for r in spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x double").select("i", C.rounded(F.col("x"), 9).alias("x")).orderBy("i").collect()]
+    assert list(map(repr, got)) == [repr(con.execute("SELECT round(?::DOUBLE, 9)", [x]).fetchone()[0]) for x in odd]

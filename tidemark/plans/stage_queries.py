@@ -234,7 +234,7 @@ def asof_session(g: Graph) -> DataFrame:
 @query("signed_returns", f"WITH {ALIGN}, {WINDOWS} SELECT event_id, window_days, baseline_date, window_end_date, baseline_close, window_end_close, round(window_end_close / baseline_close - 1, 9) AS cumulative_return FROM returns")
 def signed_returns(g: Graph) -> DataFrame:
     rows = M.return_windows(M.align_sessions(_published(g), g.prices, "user_id"), g.prices, "user_id")
-    return rows.select("event_id", "window_days", "baseline_date", "window_end_date", "baseline_close", "window_end_close", F.round("cumulative_return", 9).alias("cumulative_return"))
+    return rows.select("event_id", "window_days", "baseline_date", "window_end_date", "baseline_close", "window_end_close", C.rounded(F.col("cumulative_return"), 9).alias("cumulative_return"))
 
 
 @query("alignment_report", f"""WITH {ALIGN}, {WINDOWS}, n AS (SELECT event_id, count(*) AS k FROM returns GROUP BY event_id) SELECT status, count(*) AS n FROM (SELECT CASE WHEN anchor_pos IS NULL THEN 'NO_TRADING_SESSION_AFTER_EVENT' WHEN anchor_pos = 0 THEN 'NO_BASELINE_SESSION' WHEN coalesce(k, 0) = 6 THEN 'ALIGNED' ELSE 'PARTIAL_WINDOWS' END AS status FROM aligned LEFT JOIN n USING (event_id)) GROUP BY status""")
