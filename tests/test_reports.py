@@ -283,3 +283,20 @@ def test_signed_returns_are_rounded_as_their_sql(spark, tmp_path):
     odd = [0.5330078125, -0.5330078125, 1e300, -1e-12, 0.0, -0.0, float("inf"), float("-inf"), float("nan"), 2.5e-9, -3.5e-9, None]
     got = [r.x for r in spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x double").select("i", C.rounded(F.col("x"), 9).alias("x")).orderBy("i").collect()]
     assert list(map(repr, got)) == [repr(con.execute("SELECT round(?::DOUBLE, 9)", [x]).fetchone()[0]) for x in odd]
+
+
+def test_signed_returns_without_a_time_or_a_value(spark, tmp_path):
+    import datetime as dt
+
+    import duckdb
+
+    import tidemark.plans.stage_queries  # noqa: F401  registers its queries
+    from tidemark.plans.catalog import ORACLE, QUERIES
+
+    days = [dt.datetime(2024, 1, 1 + i % 16, 9 + i % 12, i) for i in range(48)]
+    rows = [(i, None if i % 19 == 7 else d, i % 2, None if i % 7 == 3 else 1.0 + i) for i, d in enumerate(days)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want, found = con.sql(ORACLE["signed_returns"]).fetchall(), QUERIES["signed_returns"](spark, str(tmp_path)).collect()
+    assert len(want) > 90 and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found)

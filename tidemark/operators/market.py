@@ -10,8 +10,8 @@ from ..config import MarketConfig
 
 
 def positions(prices: DataFrame, key: str) -> DataFrame:
-    """prices with pos: the session's place in its series, from 0."""
-    return prices.withColumn("pos", F.row_number().over(W.partitionBy(key).orderBy("date")).cast("int") - 1)
+    """prices with pos: the session's place in its series, from 0; one without a date is last."""
+    return prices.withColumn("pos", F.row_number().over(W.partitionBy(key).orderBy(F.col("date").asc_nulls_last())).cast("int") - 1)
 
 
 def align_sessions(publications: DataFrame, prices: DataFrame, key: str, timestamp: str = "published_at", config: MarketConfig = MarketConfig()) -> DataFrame:
@@ -30,7 +30,7 @@ def align_sessions(publications: DataFrame, prices: DataFrame, key: str, timesta
     same = F.max("pos").over(by_day)
     both = both.withColumn("_same", same)
     ahead = W.partitionBy(key).orderBy(F.col("_d").desc_nulls_first(), F.col("pos").isNull().cast("int").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = both.withColumn("_later", F.min("pos").over(ahead))
+    both = both.withColumn("_later", F.min(F.when(F.col("_d").isNotNull(), F.col("pos"))).over(ahead))
     out = both.where("_p IS NOT NULL").select("_p.*", "_same", "_later")
     rule = F.when(F.col("_same").isNull(), "next_session_non_trading_day").when(F.col("_late"), "next_session_after_close").otherwise("same_session_before_close")
     pos = F.when(F.col("local_date").isNotNull(), F.when(F.col("_same").isNotNull() & ~F.col("_late"), F.col("_same")).otherwise(F.col("_later")))
